@@ -1,8 +1,18 @@
 """Dirichlet-smoothed likelihoods over token arrays.
 
-``model`` is an array of ``struct<term, w, cp>``: a query's terms, their weights
-and collection probabilities.  Scoring a text against its own query is a pure
-projection: no term rows, no shuffle.
+A query model is one struct per query:
+
+``terms``    its distinct terms
+``weights``  term -> struct<w, mass>, with ``mass = mu * collection probability``
+``w_sum``    sum of the weights
+``at_0``     sum of ``w * ln(mass)``, likewise ``at_1`` and ``at_10`` with 1 and 10
+             added to the mass
+``log_cp``   sum of ``w * ln(collection probability)``
+``top_mass`` largest mass
+
+With it, scoring a text against its own query is a projection: the part without
+matches is a closed form of the text's length, and only the terms that do occur
+are looked at one by one.  No term rows, no shuffle.
 """
 
 from __future__ import annotations
@@ -17,56 +27,78 @@ MU = 2500.0
 PRACTICAL_TF = 10.0
 
 
-def _fold(model: Column, term: object) -> Column:
-    return F.aggregate(model, F.lit(0.0), lambda acc, m: acc + term(m))
+def model_struct(mu: float = MU) -> Column:
+    """Aggregate of a query's rows ``(term, w, cp)`` into its model."""
+    w, cp = F.col("w"), F.col("cp")
+    mass = mu * cp
+    entries = F.array_sort(F.collect_list(F.struct("term", w.alias("w"), mass.alias("mass"))))
+    return F.struct(
+        entries["term"].alias("terms"),
+        F.map_from_entries(
+            F.transform(
+                entries,
+                lambda e: F.struct(e["term"].alias("k"), F.struct(e["w"].alias("w"), e["mass"].alias("mass")).alias("v")),
+            )
+        ).alias("weights"),
+        F.sum(w).alias("w_sum"),
+        F.sum(w * F.log(mass)).alias("at_0"),
+        F.sum(w * F.log(mass + 1)).alias("at_1"),
+        F.sum(w * F.log(mass + PRACTICAL_TF)).alias("at_10"),
+        F.sum(w * F.log(cp)).alias("log_cp"),
+        F.max(mass).alias("top_mass"),
+    )
 
 
-def weight_sum(model: Column) -> Column:
-    return _fold(model, lambda m: m["w"])
+def _or_zero(score: Column) -> Column:
+    """A query without terms has no model values; its sum is 0."""
+    return F.coalesce(score, F.lit(0.0))
 
 
-def _with_tf(tokens: Column, model: Column, term: object) -> Column:
-    """Sum of ``term(m, tf, length)`` over the model's terms."""
-    hits = F.filter(tokens, lambda t: F.array_contains(model["term"], t))
+def _smoothed(tokens: Column, model: Column, found: Column, mu: float) -> Column:
+    size = F.size(tokens)
 
-    def body(found: Column) -> Column:
-        length = F.size(tokens).cast("double")
-        return _fold(
-            model,
-            lambda m: term(
-                m, (F.size(found) - F.size(F.array_remove(found, m["term"]))).cast("double"), length
-            ),
+    def gain(acc: Column, term: Column) -> Column:
+        tf = size - F.size(F.array_remove(tokens, term))
+        return let(
+            F.element_at(model["weights"], term), lambda e: acc + e["w"] * F.log1p(tf / e["mass"])
         )
 
-    return let(hits, body)
+    score = model["at_0"] - model["w_sum"] * F.log(size + mu) + F.aggregate(found, F.lit(0.0), gain)
+    return _or_zero(score)
 
 
-def kl(tokens: Column, model: Column, mu: float = MU) -> Column:
-    """Weighted log likelihood of the model's terms under the smoothed text."""
-    return _with_tf(
-        tokens, model, lambda m, tf, length: m["w"] * F.log((tf + mu * m["cp"]) / (length + mu))
-    )
+def hits(tokens: Column, terms: Column) -> Column:
+    """Distinct tokens among ``terms``."""
+    return F.array_intersect(tokens, terms)
 
 
-def cer(tokens: Column, model: Column, mu: float = MU) -> Column:
-    """Likelihood ratio against the collection, weights normalized by query length."""
+def kl(tokens: Column, model: Column, terms: Column | None = None, mu: float = MU) -> Column:
+    """Weighted log likelihood of the model's terms under the smoothed text.
 
-    def body(total: Column) -> Column:
-        return _with_tf(
-            tokens,
-            model,
-            lambda m, tf, length: m["w"] / total * F.log((tf + mu * m["cp"]) / (length + mu) / m["cp"]),
-        )
+    ``terms`` may narrow the search to terms known to be the only ones present.
+    """
+    return _smoothed(tokens, model, hits(tokens, model["terms"] if terms is None else terms), mu)
 
-    return let(weight_sum(model), body)
+
+def cer(tokens: Column, model: Column, mu: float = MU) -> Column:
+    """Likelihood ratio against the collection, weights normalized by query length."""
+    return _or_zero((kl(tokens, model, mu=mu) - model["log_cp"]) / model["w_sum"])
 
 
-def at_frequency(length: Column, model: Column, tf: float, mu: float = MU) -> Column:
-    """Score of a text of ``length`` in which each query term occurs ``tf`` times."""
-    return _fold(model, lambda m: m["w"] * F.log((F.lit(tf) + mu * m["cp"]) / (length + mu)))
+def at_frequency(length: Column, model: Column, name: str, mu: float = MU) -> Column:
+    """Score of a text of ``length`` in which each query term occurs equally often."""
+    return _or_zero(model[name] - model["w_sum"] * F.log(length + mu))
 
 
 def best_case(length: Column, model: Column, mu: float = MU) -> Column:
     """Score of a text made only of the query's most common term."""
-    top = F.array_max(model["cp"])
-    return weight_sum(model) * F.log((length + mu * top) / (length + mu))
+    return _or_zero(model["w_sum"] * F.log((length + model["top_mass"]) / (length + mu)))
+
+
+def bounds(length: Column, model: Column, mu: float = MU) -> Column:
+    """Lowest, highest and practical score of a text of ``length``."""
+    return F.struct(
+        at_frequency(length, model, "at_0", mu).alias("min_score"),
+        best_case(length, model, mu).alias("max_score"),
+        at_frequency(length, model, "at_10", mu).alias("practical_score"),
+    )

@@ -107,7 +107,7 @@ def rm3_rerank(
     feedback = feedback_docs(scores, n_docs)
     few = few_rows(topics, n_docs)
     model = rm3_model(topics, rm_terms(feedback, stored, few, stop, n_terms), lam)
-    models = query_models(with_background(model, stats, topics.small))
+    models = query_models(topics, with_background(model, stats, topics.small))
     if depth is None:
         rescored = score_routed(stored, models, topics.small, stop)
         return rank_all(rescored.drop("length"), ["query_id"], by_score())

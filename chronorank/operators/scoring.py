@@ -15,7 +15,7 @@ from chronorank.shared import side
 
 
 def topic_models(topics: Topics, stats: CollectionStats) -> DataFrame:
-    return query_models(with_background(topics.terms, stats, topics.small))
+    return query_models(topics, with_background(topics.terms, stats, topics.small))
 
 
 def attach_model(items: DataFrame, models: DataFrame, small: bool) -> DataFrame:
@@ -66,7 +66,7 @@ def score_routed(
     measures: dict[str, Callable[[Column, Column], Column]] = {
         "kl": L.kl,
         "cer": L.cer,
-        "maxest": lambda tokens, model: L.at_frequency(F.size(tokens).cast("double"), model, 1.0),
+        "maxest": lambda tokens, model: L.at_frequency(F.size(tokens), model, "at_1"),
     }
     return _routed(stored, models, small, stop, measures[measure], keep, "score", text)
 
@@ -76,21 +76,12 @@ def score_bounds(
 ) -> DataFrame:
     """Lowest, highest and practical score a text of the item's length can get."""
     rows = _routed(
-        stored, models, small, (), lambda tokens, model: bounds(F.size(tokens), model),
+        stored, models, small, (), lambda tokens, model: L.bounds(F.size(tokens), model),
         ("stream_id",), "bounds", text,
     )
     return rows.select("query_id", "stream_id", "length", "bounds.*")
 
 
-def bounds(length: Column, model: Column) -> Column:
-    size = length.cast("double")
-    return F.struct(
-        L.at_frequency(size, model, 0.0).alias("min_score"),
-        L.best_case(size, model).alias("max_score"),
-        L.at_frequency(size, model, L.PRACTICAL_TF).alias("practical_score"),
-    )
-
-
 def score_matching(
     docs: DataFrame,
     topics: Topics,

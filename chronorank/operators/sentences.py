@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronorank.functions import ids as I
 from chronorank.functions import likelihood as L
 from chronorank.functions import text as T
-from chronorank.operators.scoring import attach_model, bounds
+from chronorank.operators.scoring import attach_model
 
 # Default tagger, and the sentences that make up the top text.
 TAGGER = "lingpipe"
@@ -44,15 +44,16 @@ def _scored(rows: DataFrame, keep: Sequence[str], tagger: str) -> DataFrame:
         F.flatten("_sent_tokens").alias("_doc_tokens"),
         F.flatten(F.slice("_sent_tokens", 1, TOP_SENTENCES)).alias("_top_tokens"),
     )
-    model = F.col("model")
-    return pooled.select(
+    matched = pooled.select("*", L.hits(F.col("_doc_tokens"), F.col("model.terms")).alias("_found"))
+    model, found = F.col("model"), F.col("_found")
+    return matched.select(
         *keep,
         "_texts",
         "model",
         F.size("_doc_tokens").cast("long").alias("doc_len"),
-        F.transform("_sent_tokens", lambda s: L.kl(s, model)).alias("_sent_scores"),
-        L.kl(F.col("_doc_tokens"), model).alias("doc_score"),
-        L.kl(F.col("_top_tokens"), model).alias("top_score"),
+        F.transform("_sent_tokens", lambda s: L.kl(s, model, found)).alias("_sent_scores"),
+        L.kl(F.col("_doc_tokens"), model, found).alias("doc_score"),
+        L.kl(F.col("_top_tokens"), model, found).alias("top_score"),
     )
 
 
@@ -68,7 +69,7 @@ def sentence_scores(
         "top_score",
         F.size("_sent_scores").alias("n_sent"),
         "doc_len",
-        bounds(F.col("doc_len"), F.col("model")).alias("bounds"),
+        L.bounds(F.col("doc_len"), F.col("model")).alias("bounds"),
         "_sent_scores",
     )
     exploded = scored.select("*", F.posexplode("_sent_scores").alias("sent_num", "sent_score"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronorank.functions import text as T
+from chronorank.functions.likelihood import model_struct
 from chronorank.operators.stats import CollectionStats
 from chronorank.shared import fits, side
 
@@ -65,11 +66,11 @@ def with_background(
     return joined.withColumn("cp", cf / stats.total).drop("cf")
 
 
-def query_models(terms: DataFrame) -> DataFrame:
-    """One row per query: ``(query_id, model)``, an array of term, weight and cp.
+def query_models(topics: Topics, terms: DataFrame) -> DataFrame:
+    """One row per topic, ``(query_id, model)``, from ``(query_id, term, w, cp)``.
 
-    A group is one query's terms, bounded by the length of its text.
+    A group is one query's terms, bounded by the length of its text.  A topic
+    without terms has a null model, which scores 0.
     """
-    return terms.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("term", "w", "cp"))).alias("model")
-    )
+    models = terms.groupBy("query_id").agg(model_struct().alias("model"))
+    return topics.ids.select("query_id").join(models, "query_id", "left")

@@ -23,8 +23,8 @@ from chronorank.operators import scoring as SC
 from chronorank.operators import sentences as S
 from chronorank.operators import stats as ST
 from chronorank.operators.topics import Topics, topic_vectors
-from chronorank.shared import fits, materialize, new_path
-from chronorank.sources.items import read_items, write_items
+from chronorank.shared import fits, materialize, new_path, use_all_cores
+from chronorank.sources.items import place_items, read_items, write_items
 
 # Stopwords of the test corpus.
 STOP = (
@@ -54,6 +54,11 @@ def nested_sentences(text: str) -> Column:
     )
 
 
+def _body() -> Column:
+    sentences = F.create_map(F.lit(S.TAGGER), nested_sentences("clean_visible"))
+    return F.struct(F.col("clean_visible"), sentences.alias("sentences"))
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
@@ -71,7 +76,8 @@ class Corpus:
     # relations of the corpus
 
     def documents(self) -> DataFrame:
-        return self.table("documents").select("doc_id", "source", F.col("text").alias("clean_visible"))
+        docs = self.table("documents").select("doc_id", "source", F.col("text").alias("clean_visible"))
+        return use_all_cores(docs, "doc_id")
 
     def captures(self) -> DataFrame:
         """Capture time and id of every item, without its content."""
@@ -88,20 +94,15 @@ class Corpus:
 
     def all_items(self) -> DataFrame:
         """Every capture; the body is null where no document was obtained."""
-        sentences = F.create_map(F.lit(S.TAGGER), nested_sentences("clean_visible"))
-        body = F.struct(F.col("clean_visible"), sentences.alias("sentences"))
-        docs = self.documents().withColumn("_has_body", F.lit(True))
-        return (
-            self.captures().join(docs, "doc_id", "left")
-            .select("doc_id", "stream_id", "stream_time", "source", F.when(F.col("_has_body"), body).alias("body"))
+        docs = self.documents().withColumn("body", _body())
+        return self.captures().join(docs, "doc_id", "left").select(
+            "doc_id", "stream_id", "stream_time", "source", "body"
         )
 
     def items(self) -> DataFrame:
         """Captures with a document, timed."""
-        sentences = F.create_map(F.lit(S.TAGGER), nested_sentences("clean_visible"))
-        body = F.struct(F.col("clean_visible"), sentences.alias("sentences"))
-        rows = self.documents().join(self.captures(), "doc_id")
-        return R.item_times(rows.withColumn("body", body))
+        docs = self.documents().join(self.captures(), "doc_id")
+        return R.item_times(docs.withColumn("body", _body()))
 
     def topic_table(self) -> DataFrame:
         return self.table("benchmark").select(
@@ -159,7 +160,8 @@ class Corpus:
 
     def external_stats(self) -> ST.CollectionStats:
         def build() -> DataFrame:
-            return materialize(ST.collection_stats(self.table("conversations"), "text"), "external-stats")
+            talk = use_all_cores(self.table("conversations").select("text"))
+            return materialize(ST.collection_stats(talk, "text"), "external-stats")
 
         return ST.as_collection(self._once("external", build))
 
@@ -168,9 +170,12 @@ class Corpus:
         return R.route(self.documents(), self.topics(), self.stats())
 
     def to_store(self) -> DataFrame:
+        """Rows of the stored table, each with the file slot it goes to."""
         bins = self.date_bins()
-        routed = materialize(self.routed(), "routed")  # range bounds are sampled from what follows
-        return R.stored_items(self.items(), routed, bins, small_bins=fits(bins))
+        keys = R.stored_items(
+            R.item_times(self.captures()).drop("stream_time"), self.routed(), bins, small_bins=fits(bins)
+        )
+        return self.documents().join(place_items(keys), "doc_id").withColumn("body", _body())
 
     def stored(self) -> DataFrame:
         def build() -> DataFrame:

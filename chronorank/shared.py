@@ -56,3 +56,14 @@ def side(df: DataFrame, small: bool) -> DataFrame:
     Unhinted, Spark plans a shuffle join and adaptive execution splits hot keys.
     """
     return F.broadcast(df) if small else df
+
+
+def use_all_cores(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan whose files give fewer splits than the session has cores.
+
+    Large inputs, with more splits than cores, are returned as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)

@@ -5,20 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronorank.shared import side
+from chronorank.shared import materialize, side
 
 
-def write_items(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store routed items.
+KEYS = ["query_id", "date_bin", "stream_id"]
+SLOT = "_slot"
+
+
+def slot_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
 
-    Rows are ranged by (query, hour, id), so a query that holds much of the data
-    is spread over as many files as it needs.
+def place_items(keys: DataFrame) -> DataFrame:
+    """Number the files that rows with the given keys go to, as column ``_slot``.
+
+    Slots are ranges of (query, hour, id), so a query that holds much of the data
+    gets as many files as it needs.  Ranges are found on the narrow key rows;
+    the items themselves then move once, straight to their slot.
     """
-    keys = ["query_id", "date_bin", "stream_id"]
-    stored = rows.drop("clean_visible") if "body" in rows.columns else rows
+    narrow = materialize(keys, "item-keys")
+    slots = narrow.repartitionByRange(slot_count(keys.sparkSession), *KEYS)
+    return materialize(slots.withColumn(SLOT, F.spark_partition_id()), "item-slots")
+
+
+def write_items(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store routed items, by slot if they were placed and else by key range."""
+    if SLOT in rows.columns:
+        moved = rows.repartitionById(slot_count(rows.sparkSession), SLOT).drop(SLOT)
+    else:
+        moved = rows.repartitionByRange(*KEYS)
+    stored = moved.drop("clean_visible") if "body" in rows.columns else moved
     (
-        stored.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        stored.sortWithinPartitions(*KEYS)
         .write.mode(mode)
         .partitionBy("query_id")
         .option("compression", "snappy")

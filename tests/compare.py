@@ -10,6 +10,9 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+TYPES = {
+    "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
 
 
 def connect(folder):
@@ -44,6 +47,10 @@ def compare(spark, con, folder, name, query, sql):
     timing = f"{name}: {len(ours)} rows, spark {spark_seconds:.1f}s, sql {sql_seconds:.1f}s"
     if sorted(df.columns) != sorted(columns):
         return timing, f"columns {sorted(df.columns)} vs {sorted(columns)}"
+    types = {c[0]: str(c[1]) for c in cursor.description}
+    for column, kind in df.dtypes:
+        if TYPES.get(kind) != types[column]:
+            return timing, f"type of {column}: {kind} vs {types[column]}"
     if ours != theirs:
         only_ours, only_theirs = set(ours) - set(theirs), set(theirs) - set(ours)
         return timing, (
