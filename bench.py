@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from chronorank import get_session
@@ -64,6 +65,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     registered = jobs.queries()
+    verbose = bool(os.environ.get("BENCH_VERBOSE"))
 
     def force(name: str) -> None:
         registered[name](spark, folder).write.format("noop").mode("overwrite").save()
@@ -75,6 +77,8 @@ def main() -> None:
     for name in names:
         force(name)
         seconds[name] = statistics.median(timed(lambda: force(name)) for _ in range(runs))
+        if verbose:
+            print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(
             {

@@ -63,3 +63,12 @@ def sentence_texts(sentences: Column) -> Column:
         usable,
         lambda s: F.array_join(F.transform(s["tokens"], lambda t: F.concat(t["token"], F.lit(" "))), ""),
     )
+
+
+def numbered(array: str, position: str, value: str) -> list[Column]:
+    """Positions and values of a computed array; an empty one gives a null position.
+
+    The outer form keeps the optimizer from deriving a ``size(...) > 0`` filter,
+    which would evaluate the array's whole expression a second time.
+    """
+    return [F.posexplode_outer(array).alias(position, value)]

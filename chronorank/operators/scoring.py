@@ -102,7 +102,7 @@ def score_matching(
         F.sum(F.col("w") * F.log(mu * F.col("cp"))).alias("constant"), F.sum("w").alias("w_sum")
     )
     tokens = docs.select(key, T.words(text).alias("_tokens")).select(
-        key, F.size("_tokens").cast("long").alias("length"), F.explode("_tokens").alias("term")
+        key, F.size("_tokens").cast("long").alias("length"), F.explode_outer("_tokens").alias("term")
     )
     wanted = topics.terms.select("term").distinct()
     counts = (

@@ -33,9 +33,9 @@ def _scored(rows: DataFrame, keep: Sequence[str], tagger: str) -> DataFrame:
     ``rows`` carries the item and its ``model``.  Everything happens within the
     row: sentences are exploded only afterwards.
     """
-    texts = rows.select(
+    texts = rows.filter(F.size(F.col("body.sentences")[tagger]) > 0).select(
         *keep, "model", T.sentence_texts(F.col("body.sentences")[tagger]).alias("_texts")
-    ).filter(F.size("_texts") > 0)
+    )
     tokens = texts.select(
         *keep, "model", "_texts", F.transform("_texts", lambda s: T.words(s)).alias("_sent_tokens")
     )
@@ -72,8 +72,8 @@ def sentence_scores(
         L.bounds(F.col("doc_len"), F.col("model")).alias("bounds"),
         "_sent_scores",
     )
-    exploded = scored.select("*", F.posexplode("_sent_scores").alias("sent_num", "sent_score"))
-    return exploded.select(
+    exploded = scored.select("*", *T.numbered("_sent_scores", "sent_num", "sent_score"))
+    return exploded.filter(F.col("sent_num").isNotNull()).select(
         "query_id",
         F.floor(F.col("epoch_ms") / 1000).alias("epoch"),
         "source",
@@ -108,7 +108,8 @@ def sentence_dump(
     scored = _scored(rows, keep, tagger).select(
         *keep, "doc_score", F.arrays_zip("_texts", "_sent_scores").alias("_both")
     )
-    return scored.select(*keep, "doc_score", F.posexplode("_both").alias("sent_num", "_s")).select(
+    exploded = scored.select(*keep, "doc_score", *T.numbered("_both", "sent_num", "_s"))
+    return exploded.filter(F.col("sent_num").isNotNull()).select(
         *keep, "doc_score", "sent_num", F.col("_s._sent_scores").alias("sent_score"),
         F.col("_s._texts").alias("sentence"),
     )

@@ -34,11 +34,11 @@ def topic_vectors(topics: DataFrame, stop: Sequence[str] = ()) -> Topics:
     The number of term rows is checked here, once; joins replicate the topics
     only if it stays below the bound.
     """
-    tokens = topics.select("query_id", T.words("query", stop).alias("tokens"))
-    rows = tokens.select("query_id", F.explode("tokens").alias("term"))
+    tokens = T.words("query", stop)
+    rows = topics.select("query_id", F.explode(tokens).alias("term"))
     return Topics(
         rows.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("w")),
-        tokens.select("query_id", F.size("tokens").cast("double").alias("qlen")),
+        topics.select("query_id", F.size(tokens).cast("double").alias("qlen")),
         fits(rows),
     )
 
