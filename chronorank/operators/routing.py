@@ -92,12 +92,13 @@ def route(
     the lowest id.  Of the topics without overlap only the shortest can win
     (for an empty document, the lowest id), so no pair is formed for the others.
     """
-    shortest = topics.ids.agg(
-        F.min(F.struct("qlen", "query_id")).alias("s"), F.min("query_id").alias("lowest")
-    )
-    fallback_id, fallback_len, lowest = (
-        shortest.select(c).scalar() for c in ("s.query_id", "s.qlen", "lowest")
-    )
+    others = topics.ids.agg(
+        F.struct(
+            F.min(F.struct("qlen", "query_id")).alias("shortest"), F.min("query_id").alias("lowest")
+        ).alias("o")
+    ).scalar()
+    fallback_id, fallback_len = others["shortest"]["query_id"], others["shortest"]["qlen"]
+    lowest = others["lowest"]
     pairs = _overlap(docs, topics, stats, key, text, stop, background, mu)
     lengths = topics.ids.select("query_id", F.col("qlen").alias("_qlen"))
     candidates = (

@@ -12,6 +12,8 @@ CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # small next to a data file, so that splits even out bytes and not file counts
+    "spark.sql.files.openCostInBytes": "128k",
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.parquet.filterPushdown": "true",
 }
