@@ -74,6 +74,8 @@ def main() -> None:
     seconds: dict[str, float] = {}
     seconds["build_stored"] = timed(lambda: Corpus(spark, folder).stored())
     seconds["build_out"] = timed(lambda: Corpus(spark, folder).out())
+    if verbose:
+        print(seconds, file=sys.stderr, flush=True)
     for name in names:
         force(name)
         seconds[name] = statistics.median(timed(lambda: force(name)) for _ in range(runs))

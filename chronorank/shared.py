@@ -59,11 +59,12 @@ def side(df: DataFrame, small: bool) -> DataFrame:
 
 
 def use_all_cores(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan whose files give fewer splits than the session has cores.
+    """Spread a small scan whose few files would leave most cores idle.
 
-    Large inputs, with more splits than cores, are returned as they are.
+    A file is at times one row group, which is one task however it is split.
+    Inputs with several splits for each core are returned as they are.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    if scan.rdd.getNumPartitions() > 4 * cores or len(scan.inputFiles()) >= cores:
         return scan
     return scan.repartition(cores, *keys)
