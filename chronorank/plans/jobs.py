@@ -21,7 +21,7 @@ from chronorank.sources.items import lookup_items, scan_bins, scan_query
 
 # Parameters of the registered scans and filters.
 SCAN_QUERY = 3
-SCAN_LOW, SCAN_HIGH = 100, 400
+SCAN_LOW, SCAN_HIGH = 0, 3000
 SMALL_LIMIT = 4096
 SKIPPED_QUERIES = (7,)
 DUMP_QUERY = 1
