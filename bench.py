@@ -24,22 +24,17 @@ from chronorank.plans.corpus import Corpus
 HEADLINE = [
     "collection_stats",
     "word_count",
-    "doc_terms",
     "kl_scores",
     "kl_scores_routed",
     "rank_docs",
     "route",
     "route_scores",
-    "route_load",
-    "feedback_docs",
     "rm3_model",
     "rm3_rerank",
     "rm3_rerank_top1000",
-    "sentences",
     "sentence_scores",
     "sentence_dump",
     "match_vs_nonmatch",
-    "sentence_position",
     "trec_export",
 ]
 

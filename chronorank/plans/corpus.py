@@ -94,9 +94,9 @@ class Corpus:
 
     def all_items(self) -> DataFrame:
         """Every capture; the body is null where no document was obtained."""
-        docs = self.documents().withColumn("body", _body())
+        docs = self.documents().withColumn("_obtained", F.lit(True))
         return self.captures().join(docs, "doc_id", "left").select(
-            "doc_id", "stream_id", "stream_time", "source", "body"
+            "doc_id", "stream_id", "stream_time", "source", F.when(F.col("_obtained"), _body()).alias("body")
         )
 
     def items(self) -> DataFrame:
