@@ -106,7 +106,8 @@ def rm3_rerank(
         scores = materialize(scores, "first-pass")  # read twice, scored once
     feedback = feedback_docs(scores, n_docs)
     few = few_rows(topics, n_docs)
-    model = rm3_model(topics, rm_terms(feedback, stored, few, stop, n_terms), lam)
+    # a few rows per query, read twice below: stored, so that the first pass runs once
+    model = materialize(rm3_model(topics, rm_terms(feedback, stored, few, stop, n_terms), lam), "rm3-model")
     models = query_models(topics, with_background(model, stats, topics.small))
     if depth is None:
         rescored = score_routed(stored, models, topics.small, stop)

@@ -14,6 +14,10 @@ from chronorank.shared import fits, materialize, side
 TIE_DIGITS = 9
 
 
+#: Rows of one group that the last step of a top-k may get.
+LAST_STEP_ROWS = 1_000_000
+
+
 def by_score(score: str = "score", tie: str = "stream_id") -> list[Column]:
     return [F.round(F.col(score), TIE_DIGITS).desc(), F.col(tie).asc()]
 
@@ -24,15 +28,19 @@ def top_k(
     order: Sequence[Column],
     k: int,
     spread_on: Sequence[str],
-    spread: int = 32,
+    spread: int | None = None,
     rank: str = "rank",
 ) -> DataFrame:
     """The first ``k`` rows of each group, ranked.
 
     A hot group is first cut to ``k`` rows in each of ``spread`` slices, so the
-    last step sees at most ``spread * k`` rows of a group.  Both steps prune
-    before their shuffle.
+    last step sees at most ``spread * k`` rows of a group.  By default there are
+    as many slices as shuffle partitions, or fewer if that step would get more
+    than ``LAST_STEP_ROWS``.  Both steps prune before their shuffle.
     """
+    if spread is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = max(1, min(partitions, LAST_STEP_ROWS // k))
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_on), F.lit(spread)))
     for keys in ([*by, "_slice"], list(by)):
         window = Window.partitionBy(*keys).orderBy(*order)
