@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronorank.llm.near_dup import near_duplicates
+from chronorank.llm.quality import judge_quality
+from chronorank.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,8 +21,35 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and what that rejects."""
+    return judge_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows whose labels are for testing only."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that aren't held out."""
+    docs = _table(spark, folder, "documents")
+    model = fit_toxicity(docs, _table(spark, folder, "labels").where(~held_out()))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+    return {
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_toxicity": op5_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
