@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronorank.llm.mixing import MIX_SQL, in_order, mix
 from chronorank.llm.near_dup import near_duplicates
 from chronorank.llm.quality import judge_quality
 from chronorank.llm.toxicity import fit_toxicity, score_toxicity
@@ -21,6 +22,11 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of all documents takes of each, in the order of the mix."""
+    return in_order(mix(_table(spark, folder, "documents")))
+
+
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text, and what that rejects."""
     return judge_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -47,10 +53,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_source_mixing": op3_source_mixing,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": MIX_SQL}
