@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronorank.llm import pieces
 from chronorank.llm.mixing import MIX_SQL, in_order, mix
 from chronorank.llm.near_dup import near_duplicates
 from chronorank.llm.quality import judge_quality
@@ -50,12 +51,31 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    model = pieces.read_model(spark, TOKENIZER)
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == text).alias("round_trip"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
