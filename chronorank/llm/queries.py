@@ -8,16 +8,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronorank.llm import pieces
+from chronorank.llm.fingerprints import compare_with_next
 from chronorank.llm.mixing import MIX_SQL, in_order, mix
 from chronorank.llm.near_dup import near_duplicates
 from chronorank.llm.quality import judge_quality
 from chronorank.llm.toxicity import fit_toxicity, score_toxicity
+from chronorank.llm.urls import URLS_SQL, judge_urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with likenesses."""
+    return compare_with_next(_table(spark, folder, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents that share 85 % of their three-word shingles."""
     return near_duplicates(_table(spark, folder, "documents"))
@@ -51,6 +58,11 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return judge_urls(_table(spark, folder, "pages"))
+
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -71,13 +83,15 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
+        "op6_url_filters": op6_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": MIX_SQL}
+    return {"op3_source_mixing": MIX_SQL, "op6_url_filters": URLS_SQL}
