@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronorank.shared import fits
+from chronorank.shared import fits, materialize
 
 #: Side tables with at most this many narrow rows may be replicated.
 MAX_SIDE_ROWS = 1_000_000
@@ -24,6 +27,46 @@ def small_side(df: DataFrame, max_rows: int = MAX_SIDE_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def in_buckets(rows: DataFrame, keys: list[str], by: str, most: int, name: str) -> DataFrame:
+    """``rows`` dealt out by ``keys`` and a column ``meet``, sorted by both, so that rows that meet are neighbours.
+
+    A bucket of more than ``most`` rows is cut in parts by a hash of ``by``.  Its
+    rows are repeated so that every two parts, and every part with itself, meet
+    once; ``part`` is a row's own part, and ``cross`` is true where two different
+    ones meet.
+    """
+    hot = rows.groupBy(*keys).count().where(F.col("count") > most)
+    hot = materialize(hot.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("parts")), name)
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("parts"))).cast("int")
+    rows = rows.join(small_side(hot), keys, "left").withColumn("part", part)
+    others = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    meet = F.least("part", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("part", "other")
+    rows = rows.withColumns({"meet": meet.cast("long"), "cross": F.col("part") != F.col("other")})
+    # in the meeting of two parts, each one's rows know the other; both say so
+    rows = rows.drop("parts", "other")
+    return rows.repartition(*keys, "meet").sortWithinPartitions(*keys, "meet")
+
+
+def neighbours(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The sorted rows of a task, cut only between different ``keys``."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        end = np.ones(len(rows), bool)
+        for key in keys:
+            end &= (rows[key] == rows[key].iat[-1]).to_numpy()
+        cut = len(rows) - int(end.sum())
+        if cut == 0 and held and all(held[0][k].iat[-1] == rows[k].iat[-1] for k in keys):
+            held.append(rows)
+            continue
+        yield pd.concat([*held, rows.iloc[:cut]])
+        held = [rows.iloc[cut:]]
+    if held:
+        yield pd.concat(held)
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased, as UTF-8."""
     return (text or "").encode("utf-8", "replace").lower().split()

@@ -14,6 +14,7 @@ from chronorank.llm.near_dup import near_duplicates
 from chronorank.llm.quality import judge_quality
 from chronorank.llm.toxicity import fit_toxicity, score_toxicity
 from chronorank.llm.urls import URLS_SQL, judge_urls
+from chronorank.llm.vectors import VECTORS_SQL, near_vectors
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of vectors of equal label with a cosine of 0.93 or more."""
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -89,9 +95,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
         "op6_url_filters": op6_url_filters,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": MIX_SQL, "op6_url_filters": URLS_SQL}
+    return {"op3_source_mixing": MIX_SQL, "op6_url_filters": URLS_SQL, "op8_embedding_near_dedup": VECTORS_SQL}
