@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronorank.llm import pieces
+from chronorank.llm.extraction import extract_text
 from chronorank.llm.fingerprints import compare_with_next
 from chronorank.llm.mixing import MIX_SQL, in_order, mix
 from chronorank.llm.near_dup import near_duplicates
@@ -64,6 +65,12 @@ def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract_text(_table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "lines", "shared")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of vectors of equal label with a cosine of 0.93 or more."""
     return near_vectors(_table(spark, folder, "embeddings"))
@@ -95,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
         "op6_url_filters": op6_url_filters,
+        "op7_html_extraction": op7_html_extraction,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
