@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronorank.llm import pieces
 from chronorank.llm.extraction import extract_text
 from chronorank.llm.fingerprints import compare_with_next
+from chronorank.llm.licenses import scan_licenses
 from chronorank.llm.mixing import MIX_SQL, in_order, mix
 from chronorank.llm.near_dup import near_duplicates
 from chronorank.llm.quality import judge_quality
@@ -76,6 +77,17 @@ def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in every document."""
+    found = scan_licenses(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda m: m["license"]), ",").alias("licenses"),
+        F.array_max(F.transform("licenses", lambda m: m["containment"])).alias("best_containment"),
+    )
+
+
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -104,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filters": op6_url_filters,
         "op7_html_extraction": op7_html_extraction,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "op9_license_scans": op9_license_scans,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
