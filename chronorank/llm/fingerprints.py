@@ -111,7 +111,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, **carried: Column)
     """
     rows = docs.count()
     if not rows:
-        return docs.select("*", *[v.alias(k) for k, v in carried.items()], *[v.alias(f"next_{k}") for k, v in carried.items()])
+        return docs.withColumns(carried | {f"next_{k}": v for k, v in carried.items()})
     steps = max(1, -(-rows // range_rows))
     places = [i / steps for i in range(1, steps)] + [1.0]
     found = docs.agg(F.percentile_approx("doc_id", places, 10 * max(1000, steps)).alias("cuts"), F.max("doc_id").alias("top"))
