@@ -16,8 +16,8 @@ ANCHORS = 64
 #: Anchors count as in place up to this displacement from the usual one, in units,
 #: besides an eighth of the longer text.
 NEAR = 16
-#: Documents of a range of neighbouring ids, about.
-RANGE_ROWS = 5_000
+#: Documents of a range of neighbouring ids, about, and ranges at most.
+RANGE_ROWS, RANGES = 1_000, 4_096
 
 ANCHOR_TYPE = "array<struct<h:bigint,at:int>>"
 
@@ -43,19 +43,24 @@ def anchors(text: Column) -> Column:
         return _let(pairs, lambda p: _let(F.size(u), lambda n: of_pairs(p, n)))
 
     def of_pairs(p: Column, n: Column) -> Column:
-        def pick(i: Column) -> Column:
-            row = [F.get(p, i + j) for j in range(inner)]
-            least = F.least(*row)
+        def pick(first: Column, i: Column) -> Column:
+            others = [F.get(p, i + j) for j in range(1, inner)]
+            # the last runs of the text have no whole one: null, and not kept
+            edge = (first <= F.least(*others)) | (others[-1] <= F.least(first, *others[:-1]))
             # every other inner run covers the units of the whole one
-            whole = F.xxhash64(*row[::S], row[-1])
-            return F.when((least == row[0]) | (least == row[-1]), F.struct(whole.alias("h"), i.cast("int").alias("at")))
+            whole = F.xxhash64(first, *others[S - 1 :: S], others[-1])
+            return F.when((i <= n - K) & edge, F.struct(whole.alias("h"), i.cast("int").alias("at")))
 
-        runs = F.transform(F.sequence(F.lit(0), n - K), pick)
-        kept = F.array_sort(F.filter(runs, lambda x: x.isNotNull()))
-        first = _let(kept, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["h"] != x["h"])))
+        kept = F.filter(F.transform(p, pick), lambda x: x.isNotNull())
         short = F.array(F.struct(F.xxhash64(F.concat_ws(" ", F.transform(p, lambda x: x.cast("string")))).alias("h"), F.lit(0).alias("at")))
         none = F.array().cast(ANCHOR_TYPE)
-        return F.when(n >= K, F.slice(first, 1, ANCHORS)).when(n > 0, short).otherwise(none).cast(ANCHOR_TYPE)
+        return F.when(n >= K, _let(kept, smallest)).when(n > 0, short).otherwise(none).cast(ANCHOR_TYPE)
+
+    def smallest(kept: Column) -> Column:
+        # numbers sort faster than structs: only those up to the last hash that stays are sorted with their places
+        hashes = F.slice(F.sort_array(F.array_distinct(F.transform(kept, lambda x: x["h"]))), 1, ANCHORS)
+        few = _let(F.array_max(hashes), lambda last: F.sort_array(F.filter(kept, lambda x: x["h"] <= last)))
+        return _let(few, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["h"] != x["h"])))
 
     return _let(units, of_units)
 
@@ -79,7 +84,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def compare(x: Column, y: Column) -> Column:
         hx, hy = F.transform(x, lambda v: v["h"]), F.transform(y, lambda v: v["h"])
-        both = F.slice(F.array_sort(F.array_union(hx, hy)), 1, ANCHORS)
+        both = F.slice(F.sort_array(F.array_union(hx, hy)), 1, ANCHORS)
         return _let(both, lambda u: _let(hx, lambda p: _let(hy, lambda q: shared(x, y, u, p, q))))
 
     def shared(x: Column, y: Column, u: Column, p: Column, q: Column) -> Column:
@@ -95,7 +100,7 @@ def likeness(a: Column, b: Column) -> Column:
             usual = F.get(m, F.floor(F.size(m) / 2).cast("int"))
             return F.size(F.filter(m, lambda d: F.abs(d - usual) <= NEAR + longest / 8))
 
-        share = _let(F.array_sort(moves), placed) / F.size(u)
+        share = _let(F.sort_array(moves), placed) / F.size(u)
         return F.when(F.size(u) == 0, 1.0).when(F.size(common) == 0, 0.0).otherwise(2 * share / (1 + share))
 
     return _let(a, lambda x: _let(b, lambda y: compare(x, y)))
@@ -112,7 +117,7 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, **carried: Column)
     rows = docs.count()
     if not rows:
         return docs.withColumns(carried | {f"next_{k}": v for k, v in carried.items()})
-    steps = max(1, -(-rows // range_rows))
+    steps = min(RANGES, max(1, -(-rows // range_rows)))
     places = [i / steps for i in range(1, steps)] + [1.0]
     found = docs.agg(F.percentile_approx("doc_id", places, 10 * max(1000, steps)).alias("cuts"), F.max("doc_id").alias("top"))
     found = found.first()
@@ -133,7 +138,6 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, **carried: Column)
     rows_ = docs.withColumns(carried).withColumn("_range", F.explode(F.when(at_head, F.concat(sent, extra)).otherwise(sent)))
     rows_ = rows_.withColumns({"_to": F.col("_range.to"), "_ends": F.col("_range.ends")}).drop("_range")
     order = Window.partitionBy("_to").orderBy("_ends", F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in carried if c != "anchors"])
-    rows_ = rows_.repartitionByRange(max(1, len(heads)), "_to")
     return (
         rows_.withColumns({f"next_{k}": F.lead(k).over(order) for k in carried}).where("not _ends").drop("_to", "_ends")
     )
