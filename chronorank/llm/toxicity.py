@@ -141,9 +141,10 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, label in zip(rows["text"], rows["toxic"], strict=True):
             (toxic if label else others).update(set(_WORD.findall((text or "").lower())))
         tokens = list(toxic.keys() | others.keys())
-        yield pd.DataFrame(
-            {"token": tokens, "toxic": [toxic[t] for t in tokens], "others": [others[t] for t in tokens]}
-        )
+        if tokens:
+            yield pd.DataFrame(
+                {"token": tokens, "toxic": [toxic[t] for t in tokens], "others": [others[t] for t in tokens]}
+            )
 
 
 def _scale(entries, others: int) -> float:
