@@ -18,14 +18,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def without(tokens: Column, stop: Sequence[str]) -> Column:
+#: Stopwords: literals, or a column with an array of any number of terms.
+Stop = Sequence[str] | Column
+
+
+def stops(stop: Stop) -> bool:
+    """Whether there are stopwords at all."""
+    return isinstance(stop, Column) or len(stop) > 0
+
+
+def without(tokens: Column, stop: Stop) -> Column:
     """``tokens`` minus stopwords, duplicates kept."""
-    if not stop:
+    if not stops(stop):
         return tokens
+    if isinstance(stop, Column):
+        return let(stop, lambda terms: F.filter(tokens, lambda t: ~F.array_contains(terms, t)))
     return F.filter(tokens, lambda t: ~t.isin(list(stop)))
 
 
-def words(text: Column | str, stop: Sequence[str] = (), pattern: str = WORD) -> Column:
+def words(text: Column | str, stop: Stop = (), pattern: str = WORD) -> Column:
     """Lower-case word tokens of ``text``; the one place the tokenizer is defined."""
     col = F.col(text) if isinstance(text, str) else text
     return without(F.regexp_extract_all(F.lower(col), F.lit(pattern), F.lit(0)), stop)
@@ -48,9 +59,11 @@ def zulu_to_epoch_ms(zulu: Column | str) -> Column:
 
 
 def hour_label(epoch_ms: Column | str) -> Column:
-    """``yyyy-MM-dd-HH`` of an instant, in UTC when the session is."""
+    """``yyyy-MM-dd-HH`` of an instant in UTC, whatever the session's zone."""
     col = F.col(epoch_ms) if isinstance(epoch_ms, str) else epoch_ms
-    return F.date_format(F.timestamp_millis(col), HOUR_FORMAT)
+    hours = F.floor(col / 3_600_000)
+    day = F.date_from_unix_date(F.floor(hours / 24).cast("int")).cast("string")
+    return F.concat(day, F.lit("-"), F.lpad(F.pmod(hours, F.lit(24)).cast("string"), 2, "0"))
 
 
 def sentence_texts(sentences: Column) -> Column:

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from chronorank.functions import ids as I
 
-# Number of sentence positions shown.
-POSITIONS = 25
-
 
 def out_frame(scores: DataFrame) -> DataFrame:
     """Analysis columns of sentence scores."""
@@ -65,22 +62,26 @@ def sent_vs_nugget(
     )
 
 
-def _shown(out: DataFrame, skip: Sequence[int]) -> DataFrame:
-    rows = out.filter(F.col("sentenceid") < POSITIONS)
+def _shown(out: DataFrame, skip: Sequence[int], positions: int | None) -> DataFrame:
+    rows = out if positions is None else out.filter(F.col("sentenceid") < positions)
     return rows.filter(~F.col("query_id").isin(list(skip))) if skip else rows
 
 
-def sentence_position(out: DataFrame, skip: Sequence[int] = ()) -> DataFrame:
-    """Mean sentence score by position, per query."""
-    return _shown(out, skip).groupBy("query_id", "sentenceid").agg(F.avg("sentencescore").alias("mean"))
+def sentence_position(out: DataFrame, skip: Sequence[int] = (), positions: int | None = None) -> DataFrame:
+    """Mean sentence score by position, per query; of the first ``positions`` if given."""
+    return _shown(out, skip, positions).groupBy("query_id", "sentenceid").agg(F.avg("sentencescore").alias("mean"))
 
 
 def sentence_position_nugget(
-    out: DataFrame, matches: DataFrame, nuggets: DataFrame, skip: Sequence[int] = ()
+    out: DataFrame,
+    matches: DataFrame,
+    nuggets: DataFrame,
+    skip: Sequence[int] = (),
+    positions: int | None = None,
 ) -> DataFrame:
-    """Mean nugget score by sentence position, per query."""
+    """Mean nugget score by sentence position, per query; of the first ``positions`` if given."""
     return (
-        _judged(_shown(out, skip), matches, nuggets)
+        _judged(_shown(out, skip, positions), matches, nuggets)
         .groupBy("query_id", "sentenceid")
         .agg(F.avg("score").alias("mean"))
     )
@@ -112,22 +113,44 @@ def nugget_epochs(out: DataFrame, matches: DataFrame, nuggets: DataFrame) -> Dat
     )
 
 
-def _means(rows: DataFrame, label: str) -> DataFrame:
-    return rows.agg(
-        F.avg("docscore").alias("mean_doc_score"), F.avg("sentencescore").alias("mean_sent_score")
-    ).select(F.lit(label).alias("rows"), "mean_doc_score", "mean_sent_score")
-
-
 def match_vs_nonmatch(
     out: DataFrame, matches: DataFrame, pooled: DataFrame, nuggets: DataFrame
 ) -> DataFrame:
-    """Mean scores of matches, pooled non-matches and all non-matches."""
-    matched = nugget_epochs(out, matches, nuggets).filter(F.col("score") >= 0)
-    return (
-        _means(matched, "matches")
-        .unionByName(_means(nonmatch_pooled(out, matches, pooled), "nonmatches_pooled"))
-        .unionByName(_means(nonmatch_all(out, matches), "nonmatches_all"))
+    """Mean scores of matches, pooled non-matches and all non-matches, in one pass over ``out``.
+
+    A sentence counts as a match once for each of its nuggets with a score of
+    0 or more.
+    """
+    facts = nuggets.select("nuggetid", "query", "score")
+    judged = matches.select("updateid", "nuggetid", "query").join(facts, ["nuggetid", "query"], "left")
+    judged = judged.groupBy("updateid").agg(
+        F.sum((F.coalesce("score", F.lit(-1)) >= 0).cast("long")).alias("n_matches")
+    )
+    shown = pooled.select("updateid").distinct().withColumn("pooled", F.lit(True))
+    rows = add_update_id(out).join(judged, "updateid", "left").join(shown, "updateid", "left")
+    none = F.col("n_matches").isNull()
+    weights = {
+        "matches": F.coalesce("n_matches", F.lit(0)),
+        "nonmatches_pooled": (none & F.coalesce("pooled", F.lit(False))).cast("long"),
+        "nonmatches_all": none.cast("long"),
+    }
+    # a row without weight doesn't count, so a mean of no rows is null
+    sums = rows.agg(
+        *[
+            (F.sum(F.when(w > 0, w * F.col(c))) / F.sum(F.when(w > 0, w))).alias(f"{name}_{c}")
+            for name, w in weights.items()
+            for c in ("docscore", "sentencescore")
+        ]
     )
+    named = [
+        F.struct(
+            F.lit(name).alias("rows"),
+            F.col(f"{name}_docscore").alias("mean_doc_score"),
+            F.col(f"{name}_sentencescore").alias("mean_sent_score"),
+        )
+        for name in weights
+    ]
+    return sums.select(F.inline(F.array(*named)))
 
 
 def nugget_score_by_time(matches: DataFrame, nuggets: DataFrame, query: int | None = None) -> DataFrame:

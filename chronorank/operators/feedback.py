@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ WEIGHT_DIGITS = 12
 
 
 def first_pass(
-    stored: DataFrame, topics: Topics, stats: CollectionStats, stop: Sequence[str] = ()
+    stored: DataFrame, topics: Topics, stats: CollectionStats, stop: T.Stop = ()
 ) -> DataFrame:
     """``(query_id, stream_id, length, score)``; documents are stopped, queries are not."""
     return score_routed(stored, topic_models(topics, stats), topics.small, stop)
@@ -45,7 +43,7 @@ def rm_terms(
     feedback: DataFrame,
     stored: DataFrame,
     small: bool,
-    stop: Sequence[str] = (),
+    stop: T.Stop = (),
     n_terms: int = FEEDBACK_TERMS,
     text: str = "clean_visible",
 ) -> DataFrame:
@@ -91,7 +89,7 @@ def rm3_rerank(
     stored: DataFrame,
     topics: Topics,
     stats: CollectionStats,
-    stop: Sequence[str] = (),
+    stop: T.Stop = (),
     depth: int | None = None,
     n_docs: int = FEEDBACK_DOCS,
     n_terms: int = FEEDBACK_TERMS,

@@ -14,10 +14,6 @@ from chronorank.shared import fits, materialize, side
 TIE_DIGITS = 9
 
 
-#: Rows of one group that the last step of a top-k may get.
-LAST_STEP_ROWS = 1_000_000
-
-
 def by_score(score: str = "score", tie: str = "stream_id") -> list[Column]:
     return [F.round(F.col(score), TIE_DIGITS).desc(), F.col(tie).asc()]
 
@@ -33,19 +29,22 @@ def top_k(
 ) -> DataFrame:
     """The first ``k`` rows of each group, ranked.
 
-    A hot group is first cut to ``k`` rows in each of ``spread`` slices, so the
-    last step sees at most ``spread * k`` rows of a group.  By default there are
-    as many slices as shuffle partitions, or fewer if that step would get more
-    than ``LAST_STEP_ROWS``.  Both steps prune before their shuffle.
+    A hot group is first cut to ``k`` rows in each of ``spread`` slices, one for
+    each shuffle partition by default, so the last step sees at most
+    ``spread * k`` rows of a group.  Both steps prune before their shuffle; as
+    Spark does that up to a limit for ``k``, larger depths are cut from the full
+    ranks, which never bring a group to one task.
     """
+    conf = df.sparkSession.conf
+    if k > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return rank_all(df, by, order, rank).filter(F.col(rank) <= k)
     if spread is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = max(1, min(partitions, LAST_STEP_ROWS // k))
+        spread = max(1, int(conf.get("spark.sql.shuffle.partitions")))
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*spread_on), F.lit(spread)))
     for keys in ([*by, "_slice"], list(by)):
         window = Window.partitionBy(*keys).orderBy(*order)
         sliced = sliced.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
-    return sliced.drop("_slice")
+    return sliced.withColumn(rank, F.col(rank).cast("long")).drop("_slice")
 
 
 def rank_all(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
@@ -69,6 +68,6 @@ def rank_all(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: st
     shifts = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
         placed.join(side(shifts, fits(runs)), [*by, "_part"])
-        .withColumn(rank, (F.col("_seq") - F.col("_first") + F.col("_before") + 1).cast("int"))
+        .withColumn(rank, (F.col("_seq") - F.col("_first") + F.col("_before") + 1).cast("long"))
         .drop("_seq", "_part", "_first", "_before")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +40,7 @@ def _overlap(
     stats: CollectionStats,
     key: str,
     text: str,
-    stop: Sequence[str],
+    stop: T.Stop,
     background: str,
     mu: float,
 ) -> DataFrame:
@@ -82,7 +80,7 @@ def route(
     stats: CollectionStats,
     key: str = "doc_id",
     text: str = "clean_visible",
-    stop: Sequence[str] = (),
+    stop: T.Stop = (),
     background: str = "default_one",
     mu: float = L.MU,
 ) -> DataFrame:

@@ -31,7 +31,7 @@ def _routed(
     stored: DataFrame,
     models: DataFrame,
     small: bool,
-    stop: Sequence[str],
+    stop: T.Stop,
     measure: Callable[[Column, Column], Column],
     keep: Sequence[str],
     out: str,
@@ -50,7 +50,7 @@ def score_routed(
     stored: DataFrame,
     models: DataFrame,
     small: bool,
-    stop: Sequence[str] = (),
+    stop: T.Stop = (),
     measure: str = "kl",
     keep: Sequence[str] = ("stream_id",),
     text: str = "clean_visible",

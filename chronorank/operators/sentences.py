@@ -12,7 +12,7 @@ from chronorank.functions import likelihood as L
 from chronorank.functions import text as T
 from chronorank.operators.scoring import attach_model
 
-# Default tagger, and the sentences that make up the top text.
+# Default tagger, and the number of sentences that usually make up the top text.
 TAGGER = "lingpipe"
 TOP_SENTENCES = 20
 
@@ -27,7 +27,7 @@ def update_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("updateid", I.update_id("stream_id", "sent_num"))
 
 
-def _scored(rows: DataFrame, keep: Sequence[str], tagger: str) -> DataFrame:
+def _scored(rows: DataFrame, keep: Sequence[str], tagger: str, top: int) -> DataFrame:
     """Scores of the sentences, the document and its beginning, as one row per item.
 
     ``rows`` carries the item and its ``model``.  Everything happens within the
@@ -42,7 +42,7 @@ def _scored(rows: DataFrame, keep: Sequence[str], tagger: str) -> DataFrame:
     pooled = tokens.select(
         "*",
         F.flatten("_sent_tokens").alias("_doc_tokens"),
-        F.flatten(F.slice("_sent_tokens", 1, TOP_SENTENCES)).alias("_top_tokens"),
+        F.flatten(F.slice("_sent_tokens", 1, top)).alias("_top_tokens"),
     )
     matched = pooled.select("*", L.hits(F.col("_doc_tokens"), F.col("model.terms")).alias("_found"))
     model, found = F.col("model"), F.col("_found")
@@ -58,12 +58,15 @@ def _scored(rows: DataFrame, keep: Sequence[str], tagger: str) -> DataFrame:
 
 
 def sentence_scores(
-    stored: DataFrame, models: DataFrame, small: bool, tagger: str = TAGGER
+    stored: DataFrame, models: DataFrame, small: bool, tagger: str = TAGGER, top: int = TOP_SENTENCES
 ) -> DataFrame:
-    """One row per sentence of each stored item, scored against its own query."""
+    """One row per sentence of each stored item, scored against its own query.
+
+    ``top_score`` is the score of the first ``top`` sentences as one text.
+    """
     keep = ("query_id", "epoch_ms", "source", "rowkey", "stream_id")
     rows = attach_model(stored.select(*keep, "body"), models, small)
-    scored = _scored(rows, keep, tagger).select(
+    scored = _scored(rows, keep, tagger, top).select(
         *keep,
         "doc_score",
         "top_score",
@@ -105,7 +108,7 @@ def sentence_dump(
         "body",
         model.select("model").scalar().alias("model"),
     )
-    scored = _scored(rows, keep, tagger).select(
+    scored = _scored(rows, keep, tagger, TOP_SENTENCES).select(
         *keep, "doc_score", F.arrays_zip("_texts", "_sent_scores").alias("_both")
     )
     exploded = scored.select(*keep, "doc_score", *T.numbered("_both", "sent_num", "_s"))

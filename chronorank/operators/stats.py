@@ -24,7 +24,7 @@ class CollectionStats:
 
 
 def doc_terms(
-    docs: DataFrame, key: str = "doc_id", text: str = "clean_visible", stop: Sequence[str] = ()
+    docs: DataFrame, key: str = "doc_id", text: str = "clean_visible", stop: T.Stop = ()
 ) -> DataFrame:
     """Sparse term vectors ``(key, term, tf)``."""
     return (
@@ -35,10 +35,21 @@ def doc_terms(
 
 
 def doc_lengths(
-    docs: DataFrame, key: str = "doc_id", text: str = "clean_visible", stop: Sequence[str] = ()
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "clean_visible",
+    stop: T.Stop = (),
+    also: T.Stop = (),
 ) -> DataFrame:
-    """Vector lengths ``(key, length)``, counted within the row."""
-    return docs.select(key, F.size(T.words(text, stop)).cast("long").alias("length"))
+    """Vector lengths ``(key, length)``, counted within the row.
+
+    With ``also``, the length without these stopwords comes along as ``stopped_length``.
+    """
+    tokens = docs.select(key, T.words(text, stop).alias("_tokens"))
+    length = F.size("_tokens").cast("long").alias("length")
+    if not T.stops(also):
+        return tokens.select(key, length)
+    return tokens.select(key, length, F.size(T.without(F.col("_tokens"), also)).cast("long").alias("stopped_length"))
 
 
 def word_count(docs: DataFrame, text: str = "clean_visible") -> DataFrame:

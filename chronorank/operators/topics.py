@@ -28,7 +28,7 @@ class Topics:
     small: bool
 
 
-def topic_vectors(topics: DataFrame, stop: Sequence[str] = ()) -> Topics:
+def topic_vectors(topics: DataFrame, stop: T.Stop = ()) -> Topics:
     """Vectors of ``(query_id, query)`` rows.
 
     The number of term rows is checked here, once; joins replicate the topics

@@ -23,7 +23,7 @@ from chronorank.operators import scoring as SC
 from chronorank.operators import sentences as S
 from chronorank.operators import stats as ST
 from chronorank.operators.topics import Topics, topic_vectors
-from chronorank.shared import fits, materialize, new_path, use_all_cores
+from chronorank.shared import fits, materialize, new_path
 from chronorank.sources.items import place_items, read_items, write_items
 
 # Stopwords of the test corpus.
@@ -76,8 +76,11 @@ class Corpus:
     # relations of the corpus
 
     def documents(self) -> DataFrame:
-        docs = self.table("documents").select("doc_id", "source", F.col("text").alias("clean_visible"))
-        return use_all_cores(docs, "doc_id")
+        return self.table("documents").select("doc_id", "source", F.col("text").alias("clean_visible"))
+
+    def valid_documents(self) -> DataFrame:
+        """Documents with visible text; the others are neither routed nor stored."""
+        return self.documents().filter(T.has_text("clean_visible"))
 
     def captures(self) -> DataFrame:
         """Capture time and id of every item, without its content."""
@@ -123,7 +126,14 @@ class Corpus:
         return S.update_ids(S.sentences(self.items(), keep=("doc_id", "stream_id")))
 
     def pooled(self) -> DataFrame:
-        return self.sentences().join(self.table("labels"), "doc_id")
+        """Sentences of the labelled documents; only these are cut into sentences."""
+
+        def build() -> DataFrame:
+            items = self.items().join(self.table("labels"), "doc_id")
+            rows = S.sentences(items, keep=("doc_id", "stream_id", "quality", "toxic"))
+            return materialize(S.update_ids(rows), "pooled")
+
+        return self._once("pooled", build)
 
     def matches(self) -> DataFrame:
         n_topics = self.table("benchmark").agg(F.count("*")).scalar()
@@ -160,14 +170,14 @@ class Corpus:
 
     def external_stats(self) -> ST.CollectionStats:
         def build() -> DataFrame:
-            talk = use_all_cores(self.table("conversations").select("text"))
+            talk = self.table("conversations").select("text")
             return materialize(ST.collection_stats(talk, "text"), "external-stats")
 
         return ST.as_collection(self._once("external", build))
 
     def routed(self) -> DataFrame:
         """``(doc_id, query_id, margin)``."""
-        return R.route(self.documents(), self.topics(), self.stats())
+        return R.route(self.valid_documents(), self.topics(), self.stats())
 
     def to_store(self) -> DataFrame:
         """Rows of the stored table, each with the file slot it goes to."""
@@ -175,7 +185,7 @@ class Corpus:
         keys = R.stored_items(
             R.item_times(self.captures()).drop("stream_time"), self.routed(), bins, small_bins=fits(bins)
         )
-        return self.documents().join(place_items(keys), "doc_id").withColumn("body", _body())
+        return self.valid_documents().join(place_items(keys), "doc_id").withColumn("body", _body())
 
     def stored(self) -> DataFrame:
         def build() -> DataFrame:

@@ -21,9 +21,9 @@ from chronorank.sources.items import lookup_items, scan_bins, scan_query
 
 # Parameters of the registered scans and filters.
 SCAN_QUERY = 3
-SCAN_LOW, SCAN_HIGH = 0, 3000
+SCAN_LOW, SCAN_HIGH = 200, 500
 SMALL_LIMIT = 4096
-SKIPPED_QUERIES = (7,)
+SHALLOW_DEPTH = 5
 DUMP_QUERY = 1
 
 Job = Callable[[Corpus], DataFrame]
@@ -148,9 +148,7 @@ def doc_terms_stopped(c: Corpus) -> DataFrame:
 
 @job
 def doc_lengths(c: Corpus) -> DataFrame:
-    plain = ST.doc_lengths(c.documents())
-    stopped = ST.doc_lengths(c.documents(), stop=STOP).withColumnRenamed("length", "stopped_length")
-    return plain.join(stopped, "doc_id")
+    return ST.doc_lengths(c.documents(), also=STOP)
 
 
 @job
@@ -294,6 +292,12 @@ def rm3_rerank_top1000(c: Corpus) -> DataFrame:
     return rounded(FB.rm3_rerank(c.stored(), c.topics(), c.stats(), STOP, depth=FB.DEPTH))
 
 
+@job
+def rm3_rerank_shallow(c: Corpus) -> DataFrame:
+    """With a depth that most documents lie below."""
+    return rounded(FB.rm3_rerank(c.stored(), c.topics(), c.stats(), STOP, depth=SHALLOW_DEPTH))
+
+
 # sentences
 
 
@@ -336,12 +340,12 @@ def sent_vs_nugget(c: Corpus) -> DataFrame:
 
 @job
 def sentence_position(c: Corpus) -> DataFrame:
-    return rounded(A.sentence_position(c.out(), SKIPPED_QUERIES))
+    return rounded(A.sentence_position(c.out()))
 
 
 @job
 def sentence_position_nugget(c: Corpus) -> DataFrame:
-    return rounded(A.sentence_position_nugget(c.out(), c.matches(), c.nuggets(), SKIPPED_QUERIES))
+    return rounded(A.sentence_position_nugget(c.out(), c.matches(), c.nuggets()))
 
 
 @job

@@ -11,7 +11,6 @@ import re
 from chronorank.plans import jobs
 from chronorank.plans.corpus import NUGGETS_PER_TOPIC, SENTENCE, STOP
 from chronorank.functions.text import NON_SPACE, WORD
-from chronorank.operators.analysis import POSITIONS
 
 MU = 2500
 STOPPED = ", ".join(f"'{t}'" for t in STOP)
@@ -93,7 +92,7 @@ RELATIONS: dict[str, str] = {
         LEFT JOIN stopped_terms t ON t.doc_id = s.doc_id AND t.term = q.term GROUP BY ALL""",
     "first_ranks": """
         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id)
-                       AS INTEGER) AS rank
+                       AS BIGINT) AS rank
         FROM kl_first""",
     "feedback": """
         SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS doc_weight,
@@ -103,7 +102,7 @@ RELATIONS: dict[str, str] = {
         SELECT query_id, term, sum(tf / length * doc_weight) / any_value(n_docs) AS raw
         FROM feedback JOIN stopped_terms USING (doc_id) GROUP BY query_id, term""",
     "relevance_ranked": """
-        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, term) AS INTEGER) AS rank
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, term) AS BIGINT) AS rank
         FROM relevance_raw""",
     "relevance": """
         SELECT query_id, term, rank, raw / sum(raw) OVER (PARTITION BY query_id) AS weight
@@ -299,7 +298,7 @@ BODIES: dict[str, str] = {
         JOIN length_bounds b ON b.query_id = s.query_id AND b.length = l.length""",
     "rank_docs": """
         SELECT query_id, stream_id, round(score, 6) AS score,
-               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS INTEGER) AS rank
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
         FROM kl_plain""",
     "route_scores": f"""
         SELECT o.doc_id, o.query_id, any_value(l.length) AS length,
@@ -321,12 +320,16 @@ BODIES: dict[str, str] = {
     "rm3_model": "SELECT query_id, term, round(w, 8) AS w FROM expanded",
     "rm3_rerank": """
         SELECT query_id, stream_id, round(score, 6) AS score,
-               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS INTEGER) AS rank
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
         FROM rescored""",
     "rm3_rerank_top1000": """
         SELECT query_id, stream_id, round(score, 6) AS score,
-               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS INTEGER) AS rank
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
         FROM rescored WHERE first_rank <= 1000""",
+    "rm3_rerank_shallow": f"""
+        SELECT query_id, stream_id, round(score, 6) AS score,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
+        FROM rescored WHERE first_rank <= {jobs.SHALLOW_DEPTH}""",
     "sentence_scores": """
         SELECT query_id, epoch, source, rowkey, stream_id, sent_num, round(doc_score, 6) AS doc_score,
                round(top_score, 6) AS top_score, round(sent_score, 6) AS sent_score, n_sent, doc_len,
@@ -354,12 +357,12 @@ BODIES: dict[str, str] = {
         SELECT query_id, score, round(avg(docscore), 6) AS meandoc FROM judged GROUP BY query_id, score""",
     "sent_vs_nugget": """
         SELECT query_id, score, round(avg(sentencescore), 6) AS meansent FROM judged GROUP BY query_id, score""",
-    "sentence_position": f"""
+    "sentence_position": """
         SELECT query_id, sentenceid, round(avg(sentencescore), 6) AS mean FROM out
-        WHERE query_id <> 7 GROUP BY query_id, sentenceid HAVING sentenceid < {POSITIONS}""",
-    "sentence_position_nugget": f"""
+        GROUP BY query_id, sentenceid""",
+    "sentence_position_nugget": """
         SELECT query_id, sentenceid, round(avg(score), 6) AS mean FROM judged
-        WHERE query_id <> 7 GROUP BY query_id, sentenceid HAVING sentenceid < {POSITIONS}""",
+        GROUP BY query_id, sentenceid""",
     "doc_score_by_time": """
         SELECT query_id, epoch, round(avg(docscore), 6) AS mean, round(abs(avg(docscore)), 6) AS magnitude
         FROM out GROUP BY query_id, epoch""",

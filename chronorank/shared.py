@@ -56,15 +56,3 @@ def side(df: DataFrame, small: bool) -> DataFrame:
     Unhinted, Spark plans a shuffle join and adaptive execution splits hot keys.
     """
     return F.broadcast(df) if small else df
-
-
-def use_all_cores(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small scan whose few files would leave most cores idle.
-
-    A file is at times one row group, which is one task however it is split.
-    Inputs with several splits for each core are returned as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() > 4 * cores or len(scan.inputFiles()) >= cores:
-        return scan
-    return scan.repartition(cores, *keys)

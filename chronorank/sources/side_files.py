@@ -14,7 +14,7 @@ from chronorank.operators.stats import CollectionStats
 TOTAL_TERM = "TOTAL"
 
 
-def read_topics(spark: SparkSession, path: str, stop: Sequence[str] = ()) -> DataFrame:
+def read_topics(spark: SparkSession, path: str, stop: T.Stop = ()) -> DataFrame:
     """``(query_id, query)`` from ``<event><id/><query/></event>`` elements.
 
     The last element of an id wins.  Stopwords, if given, leave the query text.
@@ -26,7 +26,7 @@ def read_topics(spark: SparkSession, path: str, stop: Sequence[str] = ()) -> Dat
     topics = events.groupBy(F.coalesce("id", F.lit(-1)).alias("query_id")).agg(
         F.coalesce(F.max_by("query", "_at"), F.lit("")).alias("query")
     )
-    if stop:
+    if T.stops(stop):
         topics = topics.withColumn("query", F.array_join(T.words("query", stop), " "))
     return topics
 
@@ -47,12 +47,14 @@ def read_stoplist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("term"))
 
 
-def stop_terms(stoplist: DataFrame, limit: int = 10_000) -> list[str]:
-    """Terms of a stoplist as literals for column expressions; refuses long lists."""
-    rows = stoplist.select("term").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"stoplist has more than {limit} terms")
-    return sorted({row["term"] for row in rows if row["term"]})
+def stop_terms(stoplist: DataFrame) -> list[str]:
+    """Distinct terms of a stoplist file, as literals for column expressions.
+
+    A list that is too long for literals can be a column instead: an array of
+    terms in the rows to be tokenized (``functions.text.Stop``).
+    """
+    rows = stoplist.select("term").where(F.col("term") != "").distinct().collect()
+    return sorted(row["term"] for row in rows)
 
 
 def read_date_bins(spark: SparkSession, path: str) -> DataFrame:

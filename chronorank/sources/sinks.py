@@ -37,9 +37,11 @@ def write_run(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_trec(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tagged documents, one folder per ``hourdaydir``."""
+    """Tagged documents, one folder per ``hourdaydir``; ranged by it, so that a task writes few folders."""
     (
-        records.select("hourdaydir", F.rtrim(F.col("record"), F.lit("\n")).alias("value"))
+        records.repartitionByRange("hourdaydir", "stream_id")
+        .sortWithinPartitions("hourdaydir", "stream_id")
+        .select("hourdaydir", F.rtrim(F.col("record"), F.lit("\n")).alias("value"))
         .write.mode(mode)
         .partitionBy("hourdaydir")
         .text(path)

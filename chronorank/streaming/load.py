@@ -6,6 +6,8 @@ the hour table.  The same operators therefore run on every micro-batch.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -13,7 +15,7 @@ from pyspark.sql.types import StructType
 from chronorank.operators import routing as R
 from chronorank.operators.stats import CollectionStats
 from chronorank.operators.topics import Topics
-from chronorank.shared import new_path
+from chronorank.shared import fits
 from chronorank.sources.items import write_items
 
 
@@ -28,25 +30,27 @@ def load_new_items(
     stats: CollectionStats,
     date_bins: DataFrame,
     table: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
 ) -> StreamingQuery:
     """Route and store all items available now, then stop.
 
     ``items`` has ``stream_id``, ``stream_time``, ``source`` and ``body``.  A batch
-    is written to a folder of its own number and replaced if it is run again, so a
-    restart after a failure leaves no duplicates.
+    is written to a folder named by ``checkpoint`` and its number and replaced if
+    it is run again.  So a restart after a failure leaves no duplicates, and
+    loads with checkpoints of their own add to one table.
     """
+    load_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    small_bins = fits(date_bins)
 
     def load(batch: DataFrame, number: int) -> None:
         timed = R.item_times(R.valid_items(batch)).withColumn("clean_visible", batch["body.clean_visible"])
         routed = R.route(timed.select("stream_id", "clean_visible"), topics, stats, key="stream_id")
-        rows = R.stored_items(timed, routed, date_bins, key="stream_id")
-        write_items(rows, f"{table}/batch={number}", mode="overwrite")
+        rows = R.stored_items(timed, routed, date_bins, key="stream_id", small_bins=small_bins)
+        write_items(rows, f"{table}/batch={load_id}-{number}", mode="overwrite")
 
-    where = checkpoint or new_path(items.sparkSession, "load-stream")
     return (
         items.writeStream.foreachBatch(load)
-        .option("checkpointLocation", where)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -7,6 +7,8 @@ import struct
 import pytest
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
+from chronorank.functions import text as T
+from chronorank.operators import stats as ST
 from chronorank.schema import FIELD_ID, ROUTABLE, STREAM_ITEM
 from chronorank.sources import chunks as C
 from chronorank.sources import side_files as SF
@@ -106,8 +108,10 @@ def test_side_files(spark, tmp_path):
     (tmp_path / "stop").write_text("the\nof\n")
     stop = SF.read_stoplist(spark, str(tmp_path / "stop"))
     assert SF.stop_terms(stop) == ["of", "the"]
-    with pytest.raises(ValueError):
-        SF.stop_terms(stop, limit=1)
+    texts = spark.createDataFrame([("the end of the story", ["the", "of"])], "text string, stop array<string>")
+    for terms in (SF.stop_terms(stop), texts.stop):
+        assert texts.select(T.words("text", terms).alias("w")).collect()[0].w == ["end", "story"]
+    assert ST.doc_lengths(texts, "text", "text", also=["of"]).collect()[0][1:] == (5, 4)
     (tmp_path / "bins").write_text("2012-01-01-00 0\n2012-01-01-01 1\n")
     assert {(r.hour, r.bin) for r in SF.read_date_bins(spark, str(tmp_path / "bins")).collect()} == {
         ("2012-01-01-00", 0), ("2012-01-01-01", 1),

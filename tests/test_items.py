@@ -166,3 +166,26 @@ def test_tokens(spark):
     assert row.w == ["the", "cat", "s", "2nd", "été"]
     assert row.s == row.w[1:]
     assert row.b == ["The", "Cat's", "2nd", "Été"]
+
+
+def test_text_sinks_and_split_keys(spark, tmp_path):
+    stats = spark.createDataFrame([("storm", 3.0), ("of", 10.0)], "term string, weight double")
+    K.write_vocab(stats, str(tmp_path / "vocab"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "vocab")).collect())) == [("of", 10.0), ("storm", 3.0)]
+    rows = spark.createDataFrame([("p", "news", None, '1-"a', -1.5)], "path string, source string, epoch long, id string, score double")
+    K.write_scored(rows, str(tmp_path / "scored"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "scored")).collect()] == ['p\tnews\t\t1-"a\t-1.5']
+    key = spark.createDataFrame([("030007.10-a",)], "rowkey string")
+    assert key.select(I.stream_id_of("rowkey").alias("id")).collect()[0].id == "10-a"
+
+
+def test_hour_label_ignores_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    times = spark.createDataFrame([(1325394600250,), (-1,), (None,)], "ms long")
+    try:
+        for zone in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = [r.h for r in times.select(T.hour_label("ms").alias("h")).collect()]
+            assert got == ["2012-01-01-05", "1969-12-31-23", None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

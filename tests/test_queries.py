@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from chronorank.plans import jobs, oracle
 from compare import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = jobs.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")

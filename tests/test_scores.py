@@ -168,3 +168,16 @@ def test_rank_of_a_hot_group(spark):
     top = RK.top_k(rows, ["query_id"], RK.by_score(), 50, ["stream_id"])
     expected = {(r.query_id, r.stream_id, r.rank) for r in ranked if r.rank <= 50}
     assert {(r.query_id, r.stream_id, r.rank) for r in top.collect()} == expected
+
+
+def test_top_k_of_any_depth(spark):
+    rows = spark.range(3000).selectExpr("1 AS query_id", "cast(id AS string) AS stream_id", "cast(id % 700 AS double) AS score")
+    order = RK.by_score()
+    want = {(r.stream_id, r.rank) for r in RK.rank_all(rows, ["query_id"], order).collect()}
+    for k in (10, 1000, 1001, 2_000_000):
+        top = RK.top_k(rows, ["query_id"], order, k, ["stream_id"])
+        assert dict(top.dtypes)["rank"] == "bigint"
+        assert {(r.stream_id, r.rank) for r in top.collect()} == {w for w in want if w[1] <= k}
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        # either groups are cut before they move, or no group is in one task at all
+        assert ("WindowGroupLimit" in plan) == (k <= 1000)

@@ -23,3 +23,17 @@ def test_incremental_load(spark, folder, tmp_path):
     assert loaded.count() == stored.count()
     assert loaded.select(*keys).exceptAll(stored.select(*keys)).count() == 0
     assert loaded.filter(F.col("body").isNull()).count() == 0
+
+
+def test_two_loads_into_one_table(spark, folder, tmp_path):
+    corpus = Corpus(spark, folder)
+    items = corpus.all_items().drop("doc_id")
+    parts = items.randomSplit([0.5, 0.5], 1)
+    topics, bins, table = corpus.topics(), corpus.date_bins(), str(tmp_path / "table")
+    for number, part in enumerate(parts):
+        arrived = str(tmp_path / f"arrived-{number}")
+        part.write.parquet(arrived)
+        stream = read_new_items(spark, arrived, spark.read.parquet(arrived).schema)
+        load_new_items(stream, topics, corpus.stats(), bins, table, str(tmp_path / f"state-{number}")).awaitTermination()
+    ids = spark.read.parquet(table).select("stream_id")
+    assert ids.count() == ids.distinct().count() == corpus.stored().count()
