@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from chronorank.llm.urls import host_and_path
 
 #: Pages of a range of neighbouring URLs, about, and ranges at most.
-RANGE_ROWS, RANGES = 2_000, 4_096
+RANGE_ROWS, RANGES = 500, 4_096
+#: Pages that are drawn for each border of a range, so that ranges are about even.
+DRAWN = 8
 #: A page that shares more of its open lines than this with its neighbour is a copy of it and keeps them.
 COPY = 0.8
 
@@ -182,8 +184,9 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     )
     count = rows.count()
     wanted = min(RANGES, count // range_rows)
-    some = rows.where(F.pmod(F.xxhash64("place"), F.lit(max(1, count))) < wanted).select("place").distinct()
-    cuts = sorted(r["place"].encode() for r in some.limit(2 * RANGES).collect())
+    some = rows.where(F.pmod(F.xxhash64("place"), F.lit(max(1, count))) < DRAWN * wanted).select("place").distinct()
+    # about DRAWN * RANGES short strings at most
+    cuts = sorted(r["place"].encode() for r in some.limit(2 * DRAWN * RANGES).collect())[DRAWN - 1 :: DRAWN]
     kind = (
         "to int, ends boolean, place string, page_id long, url string, host string, lines array<string>, "
         "kinds array<int>, outside array<bigint>"
