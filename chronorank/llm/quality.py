@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,14 +133,14 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def perplexities(docs: DataFrame, model: KneserNey, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """doc_id, nats, grams of every row of ``docs`` (doc_id, text): summed surprise of its n-grams and their number.
+    """doc_id, lang, nats, grams of every row of ``docs`` (doc_id, text, lang): summed surprise of its n-grams, their number.
 
     Documents come in blocks of near ids.  A block asks once for each of its
     n-grams; the sharded tables of the model answer, each different n-gram once
     for all blocks, and the answers meet the block's texts.  So neither the
     model nor the n-grams of a document are ever in one place.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
     rows = docs.count()
     steps = max(1, -(-rows // block_docs))
     cuts = None
@@ -155,13 +156,22 @@ def perplexities(docs: DataFrame, model: KneserNey, block_docs: int = BLOCK_DOCS
     asked = materialize(asked, "asked")
     known = materialize(model.log_probabilities(asked.select("key").distinct()), "answers")
     answers = asked.join(known, "key").select("block", "key", F.col("logp").cast("float").alias("logp"))
+    # texts of a few kilobytes compress better one by one than the shuffle does it
+    packed = docs.mapInPandas(_pack, "block int, doc_id long, lang string, packed binary")
     return (
-        docs.groupBy("block")
+        packed.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInPandas(_sum_block, "doc_id long, nats double, grams long")
+        .applyInPandas(_sum_block, "doc_id long, lang string, nats double, grams long")
     )
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for rows in batches:
+        rows["packed"] = [pack((text or "").encode("utf-8", "replace")) for text in rows["text"]]
+        yield rows.astype({"doc_id": "Int64"})[["block", "doc_id", "lang", "packed"]]
+
+
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for block, texts in rows.groupby("block", sort=False)["text"]:
@@ -175,11 +185,12 @@ def _sum_block(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     keys = answers["key"].to_numpy()[order]
     logp = answers["logp"].to_numpy()[order].astype(np.float64)
     nats, sizes = [], []
-    for text in docs["text"]:
-        own = character_grams(text)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for packed in docs["packed"]:
+        own = character_grams(unpack(packed).decode())
         nats.append(-float(logp[np.searchsorted(keys, own)].sum()) if len(own) else 0.0)
         sizes.append(len(own))
-    return pd.DataFrame({"doc_id": docs["doc_id"], "nats": nats, "grams": sizes})
+    return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "nats": nats, "grams": sizes})
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,8 +215,6 @@ def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
     model = KneserNey(docs.join(small_side(trusted), "doc_id", "left_semi").select("text"))
     scored = materialize(perplexities(docs, model), "surprise")
-    langs = docs.select("doc_id", "lang").distinct()
-    scored = materialize(scored.join(langs, scored["doc_id"].eqNullSafe(langs["doc_id"])).drop(langs["doc_id"]), "surprise")
     return _against_thresholds(scored, labels)
 
 
