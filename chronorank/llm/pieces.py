@@ -103,8 +103,12 @@ class PieceTransducer:
         # no piece goes on over a blank that isn't at its start, or over a line end: paths of such parts are independent
         apart = not any(BLANK in t.lstrip(BLANK) or "\n" in t for t in self.ids)
         self.parts = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n") if apart else re.compile("(?s).+")
-        self.joint = lru_cache(MEMORY)(self._joint)
+        # nor do pieces join two characters that none of them has side by side
+        self.pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        self.joints: dict[str, dict[str, bool]] = {}
+        self.n_joints = 0
         self.memory: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def normalise(self, text: str) -> str:
         if not text:
@@ -128,14 +132,20 @@ class PieceTransducer:
 
     def _joint(self, left: str, right: str) -> bool:
         """Whether the merges leave these two pieces apart: weight 0, else infinite."""
-        return self.merged(left + right) == ([left, right] if left else [right])
+        if self.n_joints >= 4 * MEMORY:
+            self.joints.clear()
+            self.n_joints = 0
+        self.n_joints += 1
+        apart = self.merged(left + right) == ([left, right] if left else [right])
+        self.joints.setdefault(left, {})[right] = apart
+        return apart
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces, and characters that no piece has, along the shortest path."""
         return self._merge_path(text) if self.model_type == BPE else self._score_path(text)
 
     def _merge_path(self, text: str) -> list[str]:
-        ids, starts, joint = self.ids, self.starts, self.joint
+        ids, starts, joints, joint = self.ids, self.starts, self.joints, self._joint
         size = len(text)
         into: list[str | None] = [None] * (size + 1)
         for start in range(size):
@@ -145,11 +155,14 @@ class PieceTransducer:
                     continue
                 # before the first piece stands nothing: it must be what its own merges give
                 last = ""
+            known = joints.get(last) or {}
             # one character, then as long as some piece goes on like this
             for end in range(start + 1, size + 1):
                 piece = text[start:end]
-                if into[end] is None and (piece in ids or end == start + 1) and joint(last, piece):
-                    into[end] = piece
+                if into[end] is None and (piece in ids or end == start + 1):
+                    apart = known.get(piece)
+                    if apart or apart is None and joint(last, piece):
+                        into[end] = piece
                 if piece not in starts:
                     break
         if into[-1] is None and text:
@@ -183,6 +196,25 @@ class PieceTransducer:
         return self._back(into)
 
     def _write(self, part: str) -> array:
+        """Ids of a part, remembered; of its pieces between characters that no piece joins, likewise."""
+        out = self.older.get(part)
+        if out is None:
+            pairs = self.pairs
+            cuts = [i + 1 for i in range(len(part) - 1) if part[i : i + 2] not in pairs]
+            if cuts:
+                out = array("i")
+                for start, end in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                    found = self.memory.get(part[start:end])
+                    out.extend(self._write(part[start:end]) if found is None else found)
+            else:
+                out = self._path_ids(part)
+        if len(part) < 64:
+            if len(self.memory) >= MEMORY:
+                self.older, self.memory = self.memory, {}
+            self.memory[part] = out
+        return out
+
+    def _path_ids(self, part: str) -> array:
         out = array("i")
         for piece in self.shortest_path(part):
             known = self.ids.get(piece)
@@ -192,17 +224,13 @@ class PieceTransducer:
                 out.extend(self.bytes[b] for b in piece.encode())
             else:
                 out.append(self.unknown)
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        if len(part) < 64:
-            self.memory[part] = out
         return out
 
     def encode(self, text: str | None) -> array:
-        out, memory, write = array("i"), self.memory, self._write
+        out = array("i")
         for part in self.parts.findall(self.normalise(text or "")):
-            known = memory.get(part)
-            out.extend(write(part) if known is None else known)
+            known = self.memory.get(part)
+            out.extend(self._write(part) if known is None else known)
         return out
 
     def decode(self, ids) -> str:
@@ -234,6 +262,12 @@ class PieceTransducer:
         return self._raw_texts
 
 
+@lru_cache(2)
+def compiled(model: bytes) -> PieceTransducer:
+    """One transducer for all tasks of a Python worker, with what it remembers."""
+    return PieceTransducer(model)
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of the whole of column ``text`` in a new column ``out``; a null text has none.
 
@@ -241,7 +275,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceTransducer(model)
+        pieces = compiled(model)
         for batch in batches:
             flat, ends = array("i"), array("i", [0])
             for value in batch.column(text):
@@ -257,7 +291,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
     """``df`` with the text of column ``ids`` in a new column ``out``; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceTransducer(model)
+        pieces = compiled(model)
         for batch in batches:
             texts = [
                 pieces.decode(value.values.to_numpy().tolist() if value.is_valid else []) for value in batch.column(ids)
