@@ -161,6 +161,12 @@ def _hashed(lines: list[str], kinds: list[int]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) >> 1 for x, k in zip(lines, kinds, strict=True) if k != ARTICLE]
 
 
+def _article(lines: list[str], kinds: list[int]) -> int | None:
+    """One hash for all lines of the article; none without an article."""
+    own = [x for x, k in zip(lines, kinds, strict=True) if k == ARTICLE]
+    return xxhash.xxh3_64_intdigest("\n".join(own)) >> 1 if own else None
+
+
 def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """page_id, url, text, lines, shared of every row of ``pages`` (page_id, url, html).
 
@@ -169,7 +175,9 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     are aligned with the partner's by longest common subsequence, and shared
     ones are deleted.  What is left is the article, and lines that neither
     belong to an article nor to a known part of the frame.  A page whose open
-    lines are nearly all shared is a copy of its partner, and keeps them.
+    lines are nearly all shared, and whose article, if any, is the partner's, is
+    a copy of it: the page before is its partner then, and if it is a copy of
+    that as well, it keeps its open lines.  So do pages without a partner.
 
     ``text`` joins the lines left by one newline; ``lines`` and ``shared`` count
     those of the page and the deleted ones.  Null pages have an empty text.
@@ -189,7 +197,7 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     cuts = sorted(r["place"].encode() for r in some.limit(2 * DRAWN * RANGES).collect())[DRAWN - 1 :: DRAWN]
     kind = (
         "to int, ends boolean, place string, page_id long, url string, host string, lines array<string>, "
-        "kinds array<int>, outside array<bigint>"
+        "kinds array<int>, outside array<bigint>, article bigint"
     )
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,13 +210,14 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
             for page, url, source, at, where in zip(*(batch[c] for c in ("page_id", "url", "html", "host", "place")), strict=True):
                 lines, kinds = page_lines(source)
-                outside = _hashed(lines, kinds)
+                outside, article = _hashed(lines, kinds), _article(lines, kinds)
                 to = bisect_right(cuts, where.encode())
-                put(to=to, ends=False, place=where, page_id=page, url=url, host=at, lines=lines, kinds=kinds, outside=outside)
+                own = dict(place=where, page_id=page, host=at, outside=outside, article=article)
+                put(to=to, ends=False, url=url, lines=lines, kinds=kinds, **own)
                 if to and cuts[to - 1] == where.encode():
-                    put(to=to - 1, ends=True, place=where, page_id=page, url=None, host=at, lines=[], kinds=[], outside=outside)
+                    put(to=to - 1, ends=True, url=None, lines=[], kinds=[], **own)
             frame = pd.DataFrame(dict(out))
-            yield frame.astype({"page_id": "Int64"}) if len(frame) else frame
+            yield frame.astype({"page_id": "Int64", "article": "Int64"}) if len(frame) else frame
 
     parsed = rows.mapInPandas(parse, kind)
     parsed = parsed.repartition(len(cuts) + 1, "to").sortWithinPartitions("to", "place", "page_id")
@@ -221,33 +230,31 @@ def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done = []
         for after in batch.itertuples(index=False):
             if row is not None and not row.ends:
-                done.append(_main_text(row, _partner(before, row, after)))
+                done.append(_main_text(row, _partners(before, row, after)))
             before, row = row, after
         if done:
             yield _results(done)
     if row is not None and not row.ends:
-        yield _results([_main_text(row, _partner(before, row, None))])
+        yield _results([_main_text(row, _partners(before, row, None))])
 
 
-def _partner(before, row, after):
-    for other in (after, before):
-        if other is not None and other.to == row.to and other.host == row.host and row.host:
-            return other.outside
-    return None
+def _partners(before, row, after) -> list:
+    return [x for x in (after, before) if x is not None and x.to == row.to and x.host == row.host and row.host]
 
 
-def _main_text(row, partner) -> tuple:
+def _main_text(row, partners) -> tuple:
     kinds, outside = np.asarray(row.kinds, int), [int(x) for x in row.outside]
+    is_open, (places,) = kinds == OPEN, np.nonzero(kinds != ARTICLE)
+    has_article = len(places) < len(kinds)
     deleted = np.zeros(len(kinds), bool)
-    if partner is not None:
-        (places,) = np.nonzero(kinds != ARTICLE)
-        shared = places[shared_lines(outside, [int(x) for x in partner])]
-        deleted[shared] = True
-        is_open = kinds == OPEN
-        if (deleted & is_open).sum() > COPY * max(1, is_open.sum()) and not (kinds == ARTICLE).any():
-            deleted &= ~is_open
-    # beside an article, open lines are the frame of the page
-    left = (kinds == ARTICLE) if (kinds == ARTICLE).any() else (kinds == OPEN) & ~deleted
+    for partner in partners:
+        deleted = np.zeros(len(kinds), bool)
+        deleted[places[shared_lines(outside, [int(x) for x in partner.outside])]] = True
+        same = not has_article or (pd.notna(partner.article) and row.article == partner.article)
+        if not same or (deleted & is_open).sum() <= COPY * max(1, is_open.sum()):
+            break
+        deleted &= ~is_open
+    left = (kinds == ARTICLE) | (is_open & ~deleted)
     text = "\n".join(line for line, stays in zip(row.lines, left, strict=True) if stays)
     return row.page_id, row.url, text, len(kinds), int(deleted.sum())
 

@@ -178,6 +178,20 @@ def test_pages_without_an_article_lose_what_neighbours_share(spark):
         assert all(r.text == f"Story {r.page_id}\nMore {r.page_id}" for r in got.values() if r.shared)
 
 
+def test_open_lines_beside_an_article_are_decided_by_the_difference(spark):
+    body = "<div>Home News</div><article>%s</article><h2>Lead %s</h2><div><p>Body %s</p></div><div>All rights reserved</div>"
+    rows = [(i, f"http://a.com/n/{i:02d}", body % (f"Card {i}", i, i)) for i in range(10)]
+    rows += [(i, f"http://b.com/n/{i:02d}", body % ("Same card", i // 2, i // 2)) for i in range(10, 20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extraction.extract_text(pages).collect()}
+    assert all(got[i] == f"Card {i}\nLead {i}\nBody {i}" for i in range(10))
+    # pairs of copies: each one's other neighbour tells the frame; the first and the last have none and lose nothing
+    for i in range(10, 20):
+        text = f"Same card\nLead {i // 2}\nBody {i // 2}"
+        head, rest = text.split("\n", 1)
+        assert got[i] == (f"Home News\n{head}\n{rest}\nAll rights reserved" if i in (10, 19) else text)
+
+
 def test_licenses(spark, folder):
     def words(text):
         return re.findall(r"[^\W_]+", (text or "").lower())
