@@ -33,10 +33,10 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: Levels of the tree; what a path has below them is not looked at.
-DEPTH = 3
-#: A segment is a branch of its own with this share of its parent's pages, and this many.
-BRANCH_SHARE, BRANCH_PAGES = 0.05, 10
+#: A segment is a branch of its own with this many pages.
+BRANCH_PAGES = 10
+#: Limits of ``URLS_SQL`` only: levels of its tree, and the share of its parent's pages that a branch has.
+DEPTH, BRANCH_SHARE = 3, 0.05
 #: Branches are similar if their blocked shares differ by less than a Hoeffding
 #: bound that holds with this probability of error.
 ALPHA = 0.05
@@ -46,6 +46,10 @@ PRIOR = 5.0
 LEAST_PURITY = 0.2
 
 _BOUND = math.sqrt(0.5 * math.log(2 / ALPHA))
+#: With fewer labelled pages than this no two parts of a node can be told apart.
+_LEAST_LABELLED = math.floor(8 * _BOUND**2)
+#: Levels after which the pages are written, so that plans of deep trees stay short.
+_WRITTEN = 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,14 +68,45 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
+def _apart(l1: Column, b1: Column, l2: Column, b2: Column) -> Column:
+    gap = F.abs(b1 / l1 - b2 / l2)
+    return (l1 > 0) & (l2 > 0) & (gap >= _BOUND * (1 / F.sqrt(l1) + 1 / F.sqrt(l2)))
+
+
+def _steps(branches: DataFrame, node: list[str]) -> DataFrame:
+    """The step down the tree of every row of ``branches`` (node, segment, l, b), one for similar ones of a node.
+
+    The branch with most labelled pages leads; those that can't be told apart
+    from it join it, and the others go on in the same way.
+    """
+    left, groups = branches, None
+    while not left.isEmpty():
+        row = F.struct("l", "segment", "b")
+        leads = left.groupBy(*node).agg(F.max(row).alias("lead"))
+        met = left.join(small_side(materialize(leads, "leads")), node)
+        apart = _apart(F.col("l"), F.col("b"), F.col("lead.l"), F.col("lead.b"))
+        met = materialize(met.withColumn("apart", apart & (F.col("segment") != F.col("lead.segment"))), "met")
+        found = met.where("not apart").select(*node, "segment", F.col("lead.segment").alias("lead"))
+        groups = found if groups is None else groups.union(found)
+        left = met.where("apart").select(*node, "segment", "l", "b")
+    if groups is None:
+        return branches.select(*node, "segment", F.lit("").alias("step"))
+    sizes = groups.groupBy(*node, "lead").agg(F.count("*").alias("size"))
+    step = F.when(F.col("size") > 1, F.concat(F.lit("/{"), "lead", F.lit("}"))).otherwise(F.concat(F.lit("/"), "lead"))
+    return groups.join(small_side(materialize(sizes, "sizes")), [*node, "lead"]).select(*node, "segment", step.alias("step"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every row of ``pages`` (page_id, url).
 
     Pages that a rule fits have its verdict, and are the labelled ones.  The
     others have that of their template.  Templates grow from the host down: at
     each node, segments that are too rare to be branches become ``*``, and so do
     branches whose labelled pages are blocked about as often as their
-    siblings'.  A template's purity is the allowed share of its labelled pages,
+    siblings'.  Branches of a node that are blocked about as often as one another
+    are one, ``{a}`` for the one of them with most labelled pages.  This goes on
+    down to the end of the longest path, or to where no node has the labels to
+    branch.  A template's purity is the allowed share of its labelled pages,
     smoothed by that of its host, and this by that of all pages; with no
     labelled page at all everything is pure.
 
@@ -87,20 +122,27 @@ def judge_urls(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
     labelled = F.col("given").isNotNull().cast("long")
     blocked = F.coalesce((F.col("given") == "block").cast("long"), F.lit(0))
     counts = [F.count("*").alias("n"), F.sum(labelled).alias("l"), F.sum(blocked).alias("b")]
-    for level in range(depth):
+    node, level = ["host", "template"], 0
+    while True:
         rows = rows.withColumn("segment", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
-        children = materialize(rows.groupBy("host", "template", "segment").agg(*counts), "branches")
-        node = ["host", "template"]
+        children = materialize(rows.groupBy(*node, "segment").agg(*counts), "branches")
         parents = children.groupBy(*node).agg(F.sum("n").alias("n0"), F.sum("l").alias("l0"), F.sum("b").alias("b0"))
-        own = children.join(materialize(parents, "nodes"), node)
-        rest, rest_blocked = F.col("l0") - F.col("l"), F.col("b0") - F.col("b")
-        branch = (F.col("n") >= BRANCH_PAGES) & (F.col("n") >= BRANCH_SHARE * F.col("n0"))
-        gap = F.abs(F.col("b") / F.col("l") - rest_blocked / rest)
-        apart = (F.col("l") > 0) & (rest > 0) & (gap >= _BOUND * (1 / F.sqrt("l") + 1 / F.sqrt(rest)))
-        branches = own.where(branch & apart & (F.col("segment") != "")).select(*node, "segment", F.lit(True).alias("branch"))
-        rows = rows.join(small_side(materialize(branches, "branches")), [*node, "segment"], "left")
-        step = F.when(F.col("segment") == "", "").when(F.col("branch"), F.concat(F.lit("/"), "segment")).otherwise("/*")
-        rows = rows.withColumn("template", F.concat("template", step)).drop("branch", "segment")
+        own = children.join(materialize(parents, "nodes"), node).where("segment <> ''")
+        # below others, no label differs or there are too few
+        own = materialize(own.where((F.col("b0") > 0) & (F.col("b0") < F.col("l0")) & (F.col("l0") >= _LEAST_LABELLED)), "own")
+        if own.isEmpty():
+            break
+        apart = _apart(F.col("l"), F.col("b"), F.col("l0") - F.col("l"), F.col("b0") - F.col("b"))
+        branches = materialize(own.where((F.col("n") >= BRANCH_PAGES) & apart).select(*node, "segment", "l", "b"), "branches")
+        steps = small_side(materialize(_steps(branches, node), "steps"))
+        rows = rows.join(steps, [*node, "segment"], "left")
+        step = F.when(F.col("segment") == "", "").otherwise(F.coalesce("step", F.lit("/*")))
+        rows = rows.withColumn("template", F.concat("template", step)).drop("step", "segment")
+        level += 1
+        if level % _WRITTEN == 0:
+            rows = materialize(rows, "rows")
+    below = F.greatest(F.size("segments") - level, F.lit(0))
+    rows = rows.drop("segment").withColumn("template", F.concat("template", F.repeat(F.lit("/*"), below)))
     templates = materialize(rows.groupBy("host", "template").agg(*counts), "templates")
     hosts = templates.groupBy("host").agg(F.sum("l").alias("l0"), F.sum("b").alias("b0"))
     every = templates.agg(F.sum("l").alias("l"), F.sum("b").alias("b")).first()
@@ -141,7 +183,8 @@ def _rules_sql(of: str) -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
-#: ``judge_urls`` of ``pages`` with the default arguments.
+#: ``judge_urls`` of ``pages`` with the default arguments, where no path is longer than ``DEPTH``, no branch
+#: smaller than ``BRANCH_SHARE`` and no two branches of a node are similar, as in the given tables up to sf0.1.
 URLS_SQL = rf"""
 WITH u AS (
   SELECT page_id,

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronorank.llm import components, extraction, licenses, near_dup, pieces, quality, queries, toxicity, vectors
+from chronorank.llm import components, extraction, licenses, near_dup, pieces, quality, queries, toxicity, urls, vectors
 from chronorank.llm.common import shingle_set
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -192,6 +192,26 @@ def test_open_lines_beside_an_article_are_decided_by_the_difference(spark):
         assert got[i] == (f"Home News\n{head}\n{rest}\nAll rights reserved" if i in (10, 19) else text)
 
 
+def test_url_templates_of_deep_paths_small_shares_and_similar_siblings(spark):
+    rules = (
+        urls.Rule("allow", "a.org", "/a/b/c/good"), urls.Rule("block", "a.org", "/a/b/c/bad/1"),
+        urls.Rule("allow", "b.org", "/"), urls.Rule("block", "b.org", "/s07/1"), urls.Rule("block", "b.org", "/s08/1"),
+    )
+    names = [f"http://a.org/a/b/c/good/{i}" for i in range(60)] + [f"http://a.org/a/b/c/bad/1{i}" for i in range(60)]
+    names += ["http://a.org/a/b/c/bad/2", "http://a.org/a/b/c/bad/2/x/y"]
+    names += [f"http://b.org/s{s:02d}/1{i}" for s in range(40) for i in range(50)]
+    pages = spark.createDataFrame(list(enumerate(names)), "page_id long, url string")
+    got = {names[r.page_id]: r for r in urls.judge_urls(pages, rules).collect()}
+    assert len(got) == len(names)
+    assert got["http://a.org/a/b/c/good/3"].template.startswith("/*/*/*/good")
+    new, deep = got["http://a.org/a/b/c/bad/2"], got["http://a.org/a/b/c/bad/2/x/y"]
+    assert new.template == "/*/*/*/bad/*" and deep.template == "/*/*/*/bad/*/*/*"
+    assert (new.rule, new.verdict) == (None, "block") and new.purity < urls.LEAST_PURITY
+    # two of 40 even sections are blocked, 2.5 % of the host's pages each: they branch, as one
+    assert {got[f"http://b.org/s{s}/11"].template for s in ("07", "08")} == {"/{s08}/*"}
+    assert {got[f"http://b.org/s{s}/11"].template for s in ("06", "39")} == {"/*/*"}
+
+
 def test_licenses(spark, folder):
     def words(text):
         return re.findall(r"[^\W_]+", (text or "").lower())
