@@ -212,6 +212,16 @@ def test_url_templates_of_deep_paths_small_shares_and_similar_siblings(spark):
     assert {got[f"http://b.org/s{s}/11"].template for s in ("06", "39")} == {"/*/*"}
 
 
+def test_url_templates_reject_and_allow_what_no_rule_decides(spark):
+    rules = (urls.Rule("block", "a.org", "/bad/1"), urls.Rule("allow", "a.org", "/good/1"), urls.Rule("block", "b.org", "/x/1"))
+    names = [f"http://a.org/{s}/{k}{i}" for s in ("bad", "good") for k in (1, 2) for i in range(40)]
+    names += [f"http://b.org/{s}/{i}" for s in ("x", "y") for i in range(100, 140)] + ["http://c.org/x/2"]
+    pages = spark.createDataFrame(list(enumerate(names)), "page_id long, url string")
+    for r in urls.judge_urls(pages, rules).collect():
+        wrong = "/bad/" in names[r.page_id] or r.host == "b.org"
+        assert r.verdict == ("block" if wrong else "allow"), r
+
+
 def test_licenses(spark, folder):
     def words(text):
         return re.findall(r"[^\W_]+", (text or "").lower())
