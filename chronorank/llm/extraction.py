@@ -182,8 +182,9 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     ``text`` joins the lines left by one newline; ``lines`` and ``shared`` count
     those of the page and the deleted ones.  Null pages have an empty text.
     Repeated rows are partners like others.  Ranges are cut at some of the
-    pages themselves, which also end the range before; so any number of pages
-    of a host, or of one URL, is spread.
+    pages themselves, which also end the range before, and the last page of that
+    begins the next one; so any number of pages of a host, or of one URL, is
+    spread, and the cuts don't show in the results.
     """
     host, path = host_and_path(F.col("url"))
     place = F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")
@@ -197,9 +198,23 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     cuts = sorted(r["place"].encode() for r in some.limit(2 * DRAWN * RANGES).collect())[DRAWN - 1 :: DRAWN]
     kind = (
         "to int, ends boolean, place string, page_id long, url string, host string, lines array<string>, "
-        "kinds array<int>, outside array<bigint>, article bigint"
+        "kinds array<int>, outside array<bigint>, article bigint, content string"
     )
 
+    def last_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[int, bytes] = {}
+        for batch in batches:
+            for where in map(str.encode, batch["place"]):
+                to = bisect_right(cuts, where)
+                last[to] = max(where, last.get(to, b""))
+        if last:
+            yield pd.DataFrame({"to": list(last), "place": [x.decode() for x in last.values()]})
+
+    lasts: dict[int, bytes] = {}
+    if cuts:
+        found = rows.select("place").mapInPandas(last_places, "to int, place string").groupBy("to").agg(F.max("place").alias("place"))
+        lasts = {r["to"]: r["place"].encode() for r in found.collect()}
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = defaultdict(list)
@@ -212,15 +227,18 @@ def extract_text(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                 lines, kinds = page_lines(source)
                 outside, article = _hashed(lines, kinds), _article(lines, kinds)
                 to = bisect_right(cuts, where.encode())
-                own = dict(place=where, page_id=page, host=at, outside=outside, article=article)
+                content = xxhash.xxh3_128_hexdigest(source or "")
+                own = dict(place=where, page_id=page, host=at, outside=outside, article=article, content=content)
                 put(to=to, ends=False, url=url, lines=lines, kinds=kinds, **own)
                 if to and cuts[to - 1] == where.encode():
                     put(to=to - 1, ends=True, url=None, lines=[], kinds=[], **own)
+                if to < len(cuts) and lasts[to] == where.encode():
+                    put(to=to + 1, ends=True, url=None, lines=[], kinds=[], **own)
             frame = pd.DataFrame(dict(out))
             yield frame.astype({"page_id": "Int64", "article": "Int64"}) if len(frame) else frame
 
     parsed = rows.mapInPandas(parse, kind)
-    parsed = parsed.repartition(len(cuts) + 1, "to").sortWithinPartitions("to", "place", "page_id")
+    parsed = parsed.repartition(len(cuts) + 1, "to").sortWithinPartitions("to", "place", "page_id", "content")
     return parsed.mapInPandas(_difference, "page_id long, url string, text string, lines long, shared long")
 
 

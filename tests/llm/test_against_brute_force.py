@@ -192,6 +192,16 @@ def test_open_lines_beside_an_article_are_decided_by_the_difference(spark):
         assert got[i] == (f"Home News\n{head}\n{rest}\nAll rights reserved" if i in (10, 19) else text)
 
 
+def test_texts_are_equal_at_every_range_size(spark):
+    frame = "<div>Home News Contact</div><p>Story %s</p><p>More %s</p><div>All rights reserved by us</div>"
+    rows = [(i, f"http://{h}.com/n/{i:02d}", frame % (i, i)) for h, ids in (("a", range(16)), ("b", range(16, 40))) for i in ids]
+    rows += [(31, "http://b.com/n/31", frame % (n, n)) for n in (70, 71)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(60)
+    got = [sorted(map(tuple, extraction.extract_text(pages, size).collect())) for size in (2_000, 20, 5, 1)]
+    assert got[0] == got[1] == got[2] == got[3]
+    assert len(got[0]) == len(rows) and all(text.startswith("Story") and shared == 2 for _, _, text, _, shared in got[0])
+
+
 def test_url_templates_of_deep_paths_small_shares_and_similar_siblings(spark):
     rules = (
         urls.Rule("allow", "a.org", "/a/b/c/good"), urls.Rule("block", "a.org", "/a/b/c/bad/1"),
