@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronorank.llm import pieces
+from chronorank.llm import exact_dedup, pieces
 from chronorank.llm.extraction import extract_text
 from chronorank.llm.fingerprints import compare_with_next
 from chronorank.llm.licenses import scan_licenses
@@ -106,6 +106,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents with the same text but for white space."""
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -118,8 +123,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_license_scans": op9_license_scans,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": MIX_SQL, "op6_url_filters": URLS_SQL, "op8_embedding_near_dedup": VECTORS_SQL}
+    return {
+        "op3_source_mixing": MIX_SQL,
+        "op6_url_filters": URLS_SQL,
+        "op8_embedding_near_dedup": VECTORS_SQL,
+        "op13_exact_dedup": exact_dedup.SQL,
+    }
