@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronorank.llm import exact_dedup, pieces
+from chronorank.llm.conversations import repair_conversations
 from chronorank.llm.extraction import extract_text
 from chronorank.llm.fingerprints import compare_with_next
 from chronorank.llm.licenses import scan_licenses
@@ -106,6 +107,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Cheapest repair of every conversation, after damage."""
+    return repair_conversations(_table(spark, folder, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents with the same text but for white space."""
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
@@ -123,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_license_scans": op9_license_scans,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_exact_dedup": op13_exact_dedup,
     }
 
