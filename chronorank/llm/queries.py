@@ -18,6 +18,7 @@ from chronorank.llm.quality import judge_quality
 from chronorank.llm.toxicity import fit_toxicity, score_toxicity
 from chronorank.llm.urls import URLS_SQL, judge_urls
 from chronorank.llm.vectors import VECTORS_SQL, near_vectors
+from chronorank.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -107,6 +108,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight whitened components of every vector."""
+    return whiten(_table(spark, folder, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Cheapest repair of every conversation, after damage."""
     return repair_conversations(_table(spark, folder, "conversations"))
@@ -129,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_license_scans": op9_license_scans,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_embedding_whitening": op11_embedding_whitening,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_exact_dedup": op13_exact_dedup,
     }
