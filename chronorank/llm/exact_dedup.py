@@ -65,8 +65,10 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held is not None:
             rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
         at = np.flatnonzero(_heads(rows))
-        sums = np.add.reduceat(rows.column("n").to_numpy(), at)
-        entries = rows.take(pa.array(at)).set_column(rows.schema.get_field_index("n"), "n", pa.array(sums))
+        firsts = rows.take(pa.array(at))
+        sums = pa.array(np.add.reduceat(rows.column("n").to_numpy(), at))
+        columns = [sums if name == "n" else firsts.column(name) for name in rows.schema.names]
+        entries = pa.RecordBatch.from_arrays(columns, schema=rows.schema)
         if len(at) > 1:
             yield entries.slice(0, len(at) - 1)
         held = entries.slice(len(at) - 1)

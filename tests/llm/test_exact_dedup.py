@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from chronorank.llm.exact_dedup import exact_duplicates
+from chronorank.llm.exact_dedup import exact_duplicates, merge_runs
 
 COLUMNS = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
@@ -39,6 +40,17 @@ def test_against_plain_grouping(spark):
     assert found(exact_duplicates(df)) == plain(rows)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_texts_that_go_on_in_the_next_batch(size):
+    schema = pa.schema([("part", pa.int32()), ("digest", pa.binary()), ("proof", pa.int64()), pa.field("n", pa.int64(), nullable=False)])
+    texts = [0, 0, 0, 1, 2, 2, 2, 2, 2, 2, 3]
+    rows = [{"part": 0, "digest": bytes([t]) * 32, "proof": t, "n": 1} for t in texts]
+    batches = [pa.RecordBatch.from_pylist(rows[at : at + size], schema=schema) for at in range(0, len(rows), size)]
+    batches.insert(1, batches[0].slice(0, 0))
+    merged = [row for batch in merge_runs(iter(batches)) for row in batch.to_pylist()]
+    assert [(row["proof"], row["n"]) for row in merged] == [(0, 3), (1, 1), (2, 6), (3, 1)]
+
+
 @pytest.mark.parametrize("partitions", ["2", "40", "300"])
 def test_rounds_of_any_number(spark, partitions):
     rows = [(i, f"text {i % 40}") for i in range(200)]
