@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronorank.functions import ids as I
 from chronorank.functions import likelihood as L
 from chronorank.functions import text as T
+from chronorank.operators.matching import best_topics
 from chronorank.operators.ranking import TIE_DIGITS
 from chronorank.operators.stats import CollectionStats
-from chronorank.operators.topics import Topics, with_background
+from chronorank.operators.topics import Topics
 from chronorank.shared import side
 
 #: Serialized size, in bytes, from which an item is rejected.
@@ -34,46 +35,6 @@ def size_filter(items: DataFrame, limit: int = SIZE_LIMIT, text: str = "clean_vi
     return sized.withColumn("accepted", F.col("n_bytes") < F.lit(limit))
 
 
-def _overlap(
-    docs: DataFrame,
-    topics: Topics,
-    stats: CollectionStats,
-    key: str,
-    text: str,
-    stop: T.Stop,
-    background: str,
-    mu: float,
-) -> DataFrame:
-    """``(key, length, query_id, bonus)`` of the topics each document overlaps.
-
-    One further row per document has a null topic; it stands for all topics
-    without overlap.  The gain of an occurrence of a term is a constant of the
-    topic, so occurrences are summed straight away, map-side first.
-    """
-    gains = with_background(topics.terms, stats, topics.small, background).select(
-        "term", "query_id", F.log(1 + F.col("w") / (mu * F.col("cp"))).alias("gain")
-    )
-    # The marker is no token, so it meets no topic; its spread keeps the rows
-    # apart should this become a shuffle join.
-    marker = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(key), F.lit(4096)))
-    tokens = docs.select(key, T.words(text, stop).alias("_tokens"), marker.alias("_marker"))
-    terms = tokens.select(
-        key,
-        F.size("_tokens").cast("long").alias("length"),
-        F.explode(F.array_append("_tokens", F.col("_marker"))).alias("term"),
-    )
-    return (
-        terms.join(side(gains, topics.small), "term", "left")
-        .groupBy(key, "length", "query_id")
-        .agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("bonus"))
-    )
-
-
-def _margin(mu: float) -> Column:
-    """Score without its document constant ``sum(tf * ln(cp))``."""
-    return F.col("bonus") - F.col("length") * F.log1p(F.col("qlen") / mu)
-
-
 def route(
     docs: DataFrame,
     topics: Topics,
@@ -87,68 +48,37 @@ def route(
     """Best topic of each document: ``(key, query_id, margin)``.
 
     The document is scored as the query and the topic as the text; ties go to
-    the lowest id.  Of the topics without overlap only the shortest can win
-    (for an empty document, the lowest id), so no pair is formed for the others.
+    the lowest id.  The margin is the score without the document's constant
+    ``sum(tf * ln(cp))``, which all topics have.  One pass over the documents,
+    without a shuffle.
     """
-    others = topics.ids.agg(
-        F.struct(
-            F.min(F.struct("qlen", "query_id")).alias("shortest"), F.min("query_id").alias("lowest")
-        ).alias("o")
-    ).scalar()
-    fallback_id, fallback_len = others["shortest"]["query_id"], others["shortest"]["qlen"]
-    lowest = others["lowest"]
-    pairs = _overlap(docs, topics, stats, key, text, stop, background, mu)
-    lengths = topics.ids.select("query_id", F.col("qlen").alias("_qlen"))
-    candidates = (
-        pairs.join(side(lengths, topics.small), "query_id", "left")
-        .withColumn("qlen", F.coalesce("_qlen", fallback_len))
-        .withColumn(
-            "query_id",
-            F.coalesce("query_id", F.when(F.col("length") == 0, lowest).otherwise(fallback_id)),
-        )
-    )
-    best = candidates.groupBy(key).agg(
-        F.max(
-            F.struct(
-                F.round(_margin(mu), TIE_DIGITS).alias("margin"), (-F.col("query_id")).alias("minus_id")
-            )
-        ).alias("best")
-    )
-    return best.select(
-        key, (-F.col("best.minus_id")).cast("int").alias("query_id"), F.col("best.margin").alias("margin")
-    )
+    best = best_topics(docs, topics, stats, 1, "route", key, text, stop, background, mu)
+    return best.select(key, "query_id", F.round("score", TIE_DIGITS).alias("margin"))
 
 
 def route_scores(
     docs: DataFrame,
     topics: Topics,
     stats: CollectionStats,
+    k: int,
     key: str = "doc_id",
     text: str = "clean_visible",
     mu: float = L.MU,
     head_terms: int = 10_000,
 ) -> DataFrame:
-    """Full routing score of every document and topic that share a term.
+    """Full routing scores of the ``k`` best topics of every document.
 
-    Other topics score ``doc_constant - length * ln(qlen + mu)``; both parts are
-    in the output.
+    A document's constant is computed once and joins its ``k`` rows.
     """
-    pairs = _overlap(docs, topics, stats, key, text, (), "default_one", mu).filter(
-        F.col("query_id").isNotNull()
-    )
+    best = best_topics(docs, topics, stats, k, "route", key, text, mu=mu)
     constants = doc_constants(docs, stats, key, text, mu, head_terms)
-    return (
-        pairs.join(side(topics.ids, topics.small), "query_id")
-        .join(constants, key)
-        .select(
-            key,
-            "query_id",
-            "length",
-            "doc_constant",
-            (
-                F.col("doc_constant") - F.col("length") * F.log(F.col("qlen") + mu) + F.col("bonus")
-            ).alias("score"),
-        )
+    return best.join(constants, key).select(
+        key,
+        "query_id",
+        "rank",
+        "length",
+        "doc_constant",
+        (F.col("doc_constant") - F.col("length") * F.log(F.lit(mu)) + F.col("score")).alias("score"),
     )
 
 

@@ -80,44 +80,3 @@ def score_bounds(
         ("stream_id",), "bounds", text,
     )
     return rows.select("query_id", "stream_id", "length", "bounds.*")
-
-
-def score_matching(
-    docs: DataFrame,
-    topics: Topics,
-    stats: CollectionStats,
-    key: str = "doc_id",
-    text: str = "clean_visible",
-    mu: float = L.MU,
-) -> DataFrame:
-    """Query likelihood of every document and topic that share a term.
-
-    Documents meet topics only through an equi-join on term: the part of the
-    score that does not depend on the document is a constant of the topic, and
-    the rest is summed over shared terms.  A topic that shares no term scores
-    ``constant - w_sum * ln(length + mu)``, a function of the length alone.
-    """
-    terms = with_background(topics.terms, stats, topics.small)
-    constants = terms.groupBy("query_id").agg(
-        F.sum(F.col("w") * F.log(mu * F.col("cp"))).alias("constant"), F.sum("w").alias("w_sum")
-    )
-    tokens = docs.select(key, T.words(text).alias("_tokens")).select(
-        key, F.size("_tokens").cast("long").alias("length"), F.explode_outer("_tokens").alias("term")
-    )
-    wanted = topics.terms.select("term").distinct()
-    counts = (
-        tokens.join(side(wanted, topics.small), "term", "left_semi")
-        .groupBy(key, "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    shared = (
-        counts.join(side(terms, topics.small), "term")
-        .groupBy(key, "length", "query_id")
-        .agg(F.sum(F.col("w") * F.log(1 + F.col("tf") / (mu * F.col("cp")))).alias("gain"))
-    )
-    return shared.join(side(constants, topics.small), "query_id").select(
-        key,
-        "query_id",
-        "length",
-        (F.col("constant") - F.col("w_sum") * F.log(F.col("length") + mu) + F.col("gain")).alias("score"),
-    )

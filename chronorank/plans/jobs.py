@@ -11,6 +11,7 @@ from chronorank.functions.text import has_text
 from chronorank.operators import analysis as A
 from chronorank.operators import export as E
 from chronorank.operators import feedback as FB
+from chronorank.operators import matching as MT
 from chronorank.operators import ranking as RK
 from chronorank.operators import routing as R
 from chronorank.operators import scoring as SC
@@ -21,10 +22,11 @@ from chronorank.sources.items import lookup_items, scan_bins, scan_query
 
 # Parameters of the registered scans and filters.
 SCAN_QUERY = 3
-SCAN_LOW, SCAN_HIGH = 200, 500
+SCAN_LOW, SCAN_HIGH = 20, 50
 SMALL_LIMIT = 4096
 SHALLOW_DEPTH = 5
 DUMP_QUERY = 1
+BEST_TOPICS = 10
 
 Job = Callable[[Corpus], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -188,7 +190,8 @@ def collection_total(c: Corpus) -> DataFrame:
 
 @job
 def kl_scores(c: Corpus) -> DataFrame:
-    return rounded(SC.score_matching(c.documents(), c.topics(), c.stats()))
+    """The best topics of every document by query likelihood."""
+    return rounded(MT.best_topics(c.documents(), c.topics(), c.stats(), BEST_TOPICS))
 
 
 def _routed_scores(c: Corpus, measure: str) -> DataFrame:
@@ -229,7 +232,8 @@ def rank_docs(c: Corpus) -> DataFrame:
 
 @job
 def route_scores(c: Corpus) -> DataFrame:
-    return rounded(R.route_scores(c.documents(), c.topics(), c.stats()), 3)
+    """The best topics of every document by routing score."""
+    return rounded(R.route_scores(c.documents(), c.topics(), c.stats(), BEST_TOPICS), 3)
 
 
 def _with_stream_ids(c: Corpus, routed: DataFrame) -> DataFrame:

@@ -222,11 +222,21 @@ RELATIONS: dict[str, str] = {
     "add_one": """
         SELECT doc_id, query_id, margin FROM add_one_margins
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY margin DESC, query_id) = 1""",
-    "overlapping": """
-        SELECT DISTINCT t.doc_id, k.query_id FROM terms t JOIN topic_terms k USING (term)""",
-    "doc_constant": f"""
-        SELECT t.doc_id, sum(t.tf * ln({MU} * b.cp)) AS doc_constant
-        FROM terms t JOIN background b USING (term) GROUP BY t.doc_id""",
+    "kl_pairs": f"""
+        SELECT l.doc_id, i.query_id, any_value(l.length) AS length,
+               coalesce(sum(q.w * ln((coalesce(t.tf, 0) + {MU} * q.cp) / (l.length + {MU}))), 0) AS score
+        FROM lengths l CROSS JOIN topic_ids i LEFT JOIN topic_cp q USING (query_id)
+        LEFT JOIN terms t ON t.doc_id = l.doc_id AND t.term = q.term
+        GROUP BY l.doc_id, i.query_id""",
+    "route_pairs": f"""
+        SELECT l.doc_id, q.query_id, any_value(l.length) AS length,
+               coalesce(sum(t.tf * ln({MU} * b.cp)), 0) AS doc_constant,
+               coalesce(sum(t.tf * ln((coalesce(k.w, 0) + {MU} * b.cp) / (q.qlen + {MU}))), 0) AS score
+        FROM lengths l CROSS JOIN topic_ids q
+        LEFT JOIN terms t ON t.doc_id = l.doc_id
+        LEFT JOIN background b ON b.term = t.term
+        LEFT JOIN topic_terms k ON k.query_id = q.query_id AND k.term = t.term
+        GROUP BY l.doc_id, q.query_id""",
     "words": f"SELECT doc_id, unnest(regexp_extract_all(clean_visible, '{NON_SPACE}')) AS word FROM docs",
     "path_parts": "SELECT stream_id, replace(stream_id, '-', '') AS bare_id FROM captures",
 }
@@ -275,11 +285,9 @@ BODIES: dict[str, str] = {
     "collection_stats": "SELECT term, cf AS weight FROM vocab",
     "collection_total": "SELECT total FROM total",
     "kl_scores": f"""
-        SELECT o.doc_id, o.query_id, any_value(l.length) AS length,
-               round(sum(q.w * ln((coalesce(t.tf, 0) + {MU} * q.cp) / (l.length + {MU}))), 6) AS score
-        FROM overlapping o JOIN lengths l USING (doc_id) JOIN topic_cp q USING (query_id)
-        LEFT JOIN terms t ON t.doc_id = o.doc_id AND t.term = q.term
-        GROUP BY o.doc_id, o.query_id""",
+        SELECT doc_id, query_id, length, round(score, 6) AS score,
+               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, query_id) AS BIGINT) AS rank
+        FROM kl_pairs QUALIFY rank <= {jobs.BEST_TOPICS}""",
     "kl_scores_routed": "SELECT query_id, stream_id, length, round(score, 6) AS score FROM kl_plain",
     "cer_scores": f"""
         SELECT s.query_id, s.stream_id, l.length,
@@ -301,14 +309,9 @@ BODIES: dict[str, str] = {
                CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
         FROM kl_plain""",
     "route_scores": f"""
-        SELECT o.doc_id, o.query_id, any_value(l.length) AS length,
-               round(any_value(c.doc_constant), 3) AS doc_constant,
-               round(sum(t.tf * ln((coalesce(k.w, 0) + {MU} * b.cp) / (q.qlen + {MU}))), 3) AS score
-        FROM overlapping o JOIN lengths l USING (doc_id) JOIN topic_ids q USING (query_id)
-        JOIN doc_constant c USING (doc_id) JOIN terms t ON t.doc_id = o.doc_id
-        JOIN background b ON b.term = t.term
-        LEFT JOIN topic_terms k ON k.query_id = o.query_id AND k.term = t.term
-        GROUP BY o.doc_id, o.query_id""",
+        SELECT doc_id, query_id, length, round(doc_constant, 3) AS doc_constant, round(score, 3) AS score,
+               CAST(row_number() OVER (PARTITION BY doc_id ORDER BY margin DESC, query_id) AS BIGINT) AS rank
+        FROM route_pairs JOIN margins USING (doc_id, query_id) QUALIFY rank <= {jobs.BEST_TOPICS}""",
     "route": "SELECT stream_id, query_id, round(margin, 6) AS margin FROM routed JOIN captures USING (doc_id)",
     "route_add_one": """
         SELECT stream_id, query_id, round(margin, 6) AS margin FROM add_one JOIN captures USING (doc_id)""",

@@ -1,12 +1,14 @@
 """Scores, routing and feedback on tiny collections, against plain Python."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronorank.operators import feedback as FB
+from chronorank.operators import matching as MT
 from chronorank.operators import ranking as RK
 from chronorank.operators import routing as R
 from chronorank.operators import scoring as SC
@@ -44,17 +46,58 @@ def data(spark):
     return docs, topics, ST.as_collection(ST.collection_stats(docs)), bags, queries, cf, sum(cf.values())
 
 
-def test_matching_scores(data):
+def test_best_topics_are_all_topics_in_order(data):
     docs, topics, stats, bags, queries, cf, total = data
-    rows = SC.score_matching(docs, topics, stats).collect()
-    found = {(r.doc_id, r.query_id): r.score for r in rows}
-    expected = {
-        (d, q): kl(queries[q], bags[d], cf, total)
-        for d in bags for q in queries if set(bags[d]) & set(queries[q])
-    }
-    assert found.keys() == expected.keys()
-    for key, score in expected.items():
-        assert found[key] == pytest.approx(score, abs=1e-9)
+    for k in (1, 2, 9):
+        rows = MT.best_topics(docs, topics, stats, k).collect()
+        found = {(r.doc_id, r.rank): (r.query_id, r.length, r.score) for r in rows}
+        assert len(found) == len(rows) == min(k, len(queries)) * len(bags)
+        for doc, bag in bags.items():
+            scores = {q: kl(queries[q], bag, cf, total) for q in queries}
+            order = sorted(queries, key=lambda q: (-round(scores[q], 9), q))[:k]
+            for rank, query in enumerate(order, 1):
+                assert found[doc, rank] == (query, sum(bag.values()), pytest.approx(scores[query], abs=1e-9))
+
+
+def test_best_topics_with_common_terms_and_bounds(spark):
+    """Many topics, of which common terms decide few: bounds, the matrix and blocks of topics."""
+    draw = random.Random(5)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(300)]
+    texts = {i: " ".join(draw.choices(common, k=20) + draw.choices(rare, k=draw.randrange(6))) for i in range(30)}
+    texts[30], texts[31] = "", "nothing known"
+    queries = {q: " ".join(draw.choices(common, k=3) + draw.choices(rare, k=4)) for q in range(1, 120)}
+    queries[120] = queries[7]  # a tie
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, clean_visible string")
+    topics = topic_vectors(spark.createDataFrame(list(queries.items()), "query_id int, query string"))
+    stats = ST.as_collection(ST.collection_stats(docs))
+    bags = {k: Counter(v.split()) for k, v in texts.items()}
+    vectors = {q: Counter(v.split()) for q, v in queries.items()}
+    cf = sum(bags.values(), Counter())
+    total = sum(cf.values())
+    for measure in ("kl", "route"):
+        rows = MT.best_topics(docs, topics, stats, 5, measure).collect()
+        found = {(r.doc_id, r.rank): r.query_id for r in rows}
+        for doc, bag in bags.items():
+            scores = {q: kl(v, bag, cf, total) if measure == "kl" else kl(bag, v, cf, total) for q, v in vectors.items()}
+            order = sorted(vectors, key=lambda q: (-round(scores[q], 9), q))[:5]
+            assert [found[doc, rank] for rank in range(1, 6)] == order
+        large = type(topics)(topics.terms, topics.ids, False)
+        dealt = MT.best_topics(docs, large, stats, 5, measure, max_rows=300).collect()
+        assert {(r.doc_id, r.rank): r.query_id for r in dealt} == found
+
+
+def test_matching_moves_nothing(data):
+    docs, topics, stats, *_ = data
+    text = MT.best_topics(docs, topics, stats, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_null_texts_and_no_topics(spark, data):
+    _, topics, stats, *_ = data
+    docs = spark.createDataFrame([(1, None), (None, "storm")], "doc_id long, clean_visible string")
+    assert {(r.doc_id, r.query_id) for r in MT.best_topics(docs, topics, stats, 1, "route").collect()} == {(1, 1), (None, 1)}
+    none = topic_vectors(spark.createDataFrame([], "query_id int, query string"))
+    assert MT.best_topics(docs, none, stats, 3).collect() == []
 
 
 def test_route_takes_best_topic_and_lowest_id_on_ties(data):
