@@ -10,9 +10,9 @@ routing       tf               ln(1 + w / m)          -ln(1 + qlen / mu) * x
 
 with ``m = mu * cp`` of the term.  The index has one row a term: its postings,
 pairs of a topic and a gain.  It is built from term rows that were counted small
-and goes to all tasks; they look terms up, sum gains and keep the best topics of
-a document, so that neither documents, tokens nor pairs are shuffled, and at
-most k rows a document come out.  More topics than that are taken in blocks.
+and goes to all tasks; an expression looks a row's tokens up, sums gains and gives
+the best topics, so that neither documents, tokens nor pairs are shuffled, and
+a document has k topics at most.  More topics than that are taken in blocks.
 
 Summing postings needs an array that is added to in place.  Built-in functions
 have none: joining tokens with topics shuffles a row for each document and topic.
@@ -20,21 +20,18 @@ have none: joining tokens with topics shuffles a row for each document and topic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from chronorank.functions import text as T
 from chronorank.functions.likelihood import MU
-from chronorank.operators.ranking import TIE_DIGITS, top_k
+from chronorank.operators.ranking import TIE_DIGITS
 from chronorank.operators.stats import CollectionStats
 from chronorank.operators.topics import Topics, with_background
 from chronorank.shared import MAX_BROADCAST_ROWS
@@ -112,8 +109,10 @@ def _term_counts(tokens: pa.ListArray, index: TopicIndex) -> tuple[np.ndarray, n
     return pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms)), tf
 
 
-def _best(index: TopicIndex, doc: np.ndarray, term: np.ndarray, value: np.ndarray, x: np.ndarray, k: int):
-    """Documents, topics, scores and ranks of the ``k`` best topics of each of some documents.
+def _best(
+    index: TopicIndex, doc: np.ndarray, term: np.ndarray, value: np.ndarray, x: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Topics and scores of the ``k`` best of each of some documents, best first.
 
     Rare terms are summed from their postings.  What common terms add to a topic
     is at most the greatest gain of each, and at most the product of both
@@ -142,93 +141,115 @@ def _best(index: TopicIndex, doc: np.ndarray, term: np.ndarray, value: np.ndarra
                 full[i, j] = sums[i, j] + np.einsum("ih,hi->i", given[i], index.matrix[:, j])
             sums = full
     if k == 1:
-        first = np.round(sums, TIE_DIGITS).argmax(axis=1)
-        d, q, rank = np.arange(n), first, np.ones(n, np.int64)
-    else:
-        least = np.partition(sums, size - k, axis=1)[:, size - k]
-        d, q = np.nonzero(np.round(sums, TIE_DIGITS) >= np.round(least, TIE_DIGITS)[:, None])
-        order = np.lexsort((q, -np.round(sums[d, q], TIE_DIGITS), d))
-        d, q = d[order], q[order]
-        rank = np.arange(len(d)) - np.searchsorted(d, d) + 1
-        d, q, rank = d[rank <= k], q[rank <= k], rank[rank <= k]
-    return d, q, sums[d, q], rank
-
-
-def _match(docs: DataFrame, index: TopicIndex, key: str, text: str, stop: T.Stop, k: int, mu: float) -> DataFrame:
-    schema = StructType(
-        [
-            docs.schema[key],
-            StructField("query_id", IntegerType()),
-            StructField("rank", LongType()),
-            StructField("length", LongType()),
-            StructField("score", DoubleType()),
-        ]
-    )
-    arrow = to_arrow_schema(schema)
+        topic = np.round(sums, TIE_DIGITS).argmax(axis=1)
+        return topic, sums[np.arange(n), topic]
+    rounded = np.round(sums, TIE_DIGITS)
+    least = np.partition(rounded, size - k, axis=1)[:, size - k]
+    d, q = np.nonzero(rounded >= least[:, None])
+    order = np.lexsort((q, -rounded[d, q], d))
+    d, q = d[order], q[order]
+    first = np.arange(len(d)) - np.searchsorted(d, d) < k
+    return q[first], sums[d[first], q[first]]
+
+
+ENTRIES = "array<struct<query_id: int, score: double>>"
+
+
+def _matcher(index: TopicIndex, k: int, mu: float) -> Callable[[Column], Column]:
+    """Expression of a token array: its ``k`` best topics of ``index``, best first."""
     size = len(index.ids)
     step = max(1, CELLS // max(1, size))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if size else ():
-            tokens = batch.column("tokens")
-            length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-            doc, term, tf = _term_counts(tokens, index)
-            value = index.value(tf, term)
-            for at in range(0, batch.num_rows, step):
-                own = slice(*np.searchsorted(doc, [at, at + step]))
-                x = index.x(length[at : at + step], mu)
-                d, q, score, rank = _best(index, doc[own] - at, term[own], value[own], x, min(k, size))
-                d = d + at
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(d)), pa.array(index.ids[q]), pa.array(rank), pa.array(length[d]), pa.array(score)],
-                    schema=arrow,
-                )
-
-    tokens = F.coalesce(T.words(text, stop), F.array().cast("array<string>"))
-    return docs.select(key, tokens.alias("tokens")).mapInArrow(run, schema)
+    def match(tokens: pa.Array) -> pa.Array:
+        length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+        doc, term, tf = _term_counts(tokens, index)
+        value = index.value(tf, term)
+        query_id, score = [], []
+        for at in range(0, len(tokens) if size else 0, step):
+            own = slice(*np.searchsorted(doc, [at, at + step]))
+            x = index.x(length[at : at + step], mu)
+            topic, sums = _best(index, doc[own] - at, term[own], value[own], x, min(k, size))
+            query_id.append(index.ids[topic])
+            score.append(sums)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate([np.zeros(0, np.int32), *query_id])), pa.array(np.concatenate([np.zeros(0), *score]))],
+            ["query_id", "score"],
+        )
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * min(k, size)), entries)
 
+    return F.arrow_udf(match, ENTRIES)
 
-def best_topics(
-    docs: DataFrame,
+
+def topic_matcher(
     topics: Topics,
     stats: CollectionStats,
     k: int,
     measure: str = "kl",
-    key: str = "doc_id",
-    text: str = "clean_visible",
-    stop: T.Stop = (),
     background: str = "default_one",
     mu: float = MU,
     max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """``(key, query_id, rank, length, score)`` of the ``k`` best topics of each row of ``docs``.
+) -> Callable[[Column], Column]:
+    """Expression that gives a token array its ``k`` best topics, as (query_id, score), best first.
 
     ``kl``     the topic's likelihood under the document
     ``route``  the document's under the topic, without its own constant
 
     Topics that share no term take part like all others; ties go to the lowest
-    id, and a null text counts as empty.  Fewer than ``k`` topics are all listed.
+    id.  Fewer than ``k`` topics are all listed.
 
     An index has up to ``max_rows`` term rows.  If there are more, topics are
-    dealt to blocks, each with an index and a pass over ``docs``, and a
-    document's best topics of all blocks are ranked again.
+    dealt to blocks with an index each, and the best of all blocks are ranked
+    again within the row.
     """
     terms = with_background(topics.terms, stats, topics.small, background).select("term", "query_id", "w", "cp")
     blocks = 1
     if not topics.small:
-        # blocks are of about half the size, as topics are dealt by hash
-        blocks = -(-2 * topics.terms.count() // max_rows)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))
-    found = []
-    for number in range(max(1, blocks)):
+        # blocks of about half the size, as topics are dealt by hash
+        blocks = max(1, -(-2 * topics.terms.count() // max_rows))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    matchers = []
+    for number in range(blocks):
         rows, ids = (
-            df.where(block == number).collect() if blocks > 1 else df.collect()
+            [tuple(row) for row in (df.where(block == number) if blocks > 1 else df).collect()]
             for df in (terms, topics.ids.select("query_id", "qlen"))
         )
-        index = build_index([tuple(r) for r in rows], [tuple(r) for r in ids], measure == "kl", mu)
-        found.append(_match(docs, index, key, text, stop, k, mu))
-    if len(found) == 1:
-        return found[0]
-    ranked = reduce(DataFrame.unionByName, found).drop("rank")
-    order = [F.round("score", TIE_DIGITS).desc(), F.col("query_id").asc()]
-    return top_k(ranked, [key], order, k, ["query_id"], spread=1).select(*found[0].columns)
+        matchers.append(_matcher(build_index(rows, ids, measure == "kl", mu), k, mu))
+    if blocks == 1:
+        return matchers[0]
+
+    def match(tokens: Column) -> Column:
+        entries = F.transform(
+            F.concat(*(one(tokens) for one in matchers)),
+            lambda e: F.struct((-F.round(e["score"], TIE_DIGITS)).alias("order"), e["query_id"].alias("query_id"), e["score"].alias("score")),
+        )
+        return F.transform(
+            F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(e["query_id"].alias("query_id"), e["score"].alias("score"))
+        )
+
+    return match
+
+
+def tokens_of(text: str, stop: T.Stop = ()) -> Column:
+    """Tokens of a text; none of a null one."""
+    return F.coalesce(T.words(text, stop), F.array().cast("array<string>"))
+
+
+def best_topics(
+    docs: DataFrame,
+    topics: Topics,
+    stats: CollectionStats,
+    k: int,
+    measure: str = "kl",
+    key: str = "doc_id",
+    text: str = "clean_visible",
+    stop: T.Stop = (),
+    background: str = "default_one",
+    mu: float = MU,
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """``(key, query_id, rank, length, score)`` of the ``k`` best topics of each row of ``docs`` (``topic_matcher``)."""
+    match = topic_matcher(topics, stats, k, measure, background, mu, max_rows)
+    tokens = docs.select(key, tokens_of(text, stop).alias("_tokens"))
+    found = tokens.select(key, F.size("_tokens").cast("long").alias("length"), match(F.col("_tokens")).alias("_best"))
+    rows = found.select(key, "length", F.posexplode("_best").alias("_at", "_topic"))
+    return rows.select(key, "_topic.query_id", (F.col("_at") + 1).cast("long").alias("rank"), "length", "_topic.score")

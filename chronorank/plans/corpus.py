@@ -22,9 +22,10 @@ from chronorank.operators import routing as R
 from chronorank.operators import scoring as SC
 from chronorank.operators import sentences as S
 from chronorank.operators import stats as ST
+from chronorank.operators.loading import Loader, make_loader
 from chronorank.operators.topics import Topics, topic_vectors
-from chronorank.shared import fits, materialize, new_path
-from chronorank.sources.items import place_items, read_items, write_items
+from chronorank.shared import materialize, new_path
+from chronorank.sources.items import read_items
 
 # Stopwords of the test corpus.
 STOP = (
@@ -179,18 +180,24 @@ class Corpus:
         """``(doc_id, query_id, margin)``."""
         return R.route(self.valid_documents(), self.topics(), self.stats())
 
-    def to_store(self) -> DataFrame:
-        """Rows of the stored table, each with the file slot it goes to."""
-        bins = self.date_bins()
-        keys = R.stored_items(
-            R.item_times(self.captures()).drop("stream_time"), self.routed(), bins, small_bins=fits(bins)
-        )
-        return self.valid_documents().join(place_items(keys), "doc_id").withColumn("body", _body())
+    def arrivals(self) -> DataFrame:
+        """Every capture with its document's text, timed."""
+        docs = self.documents().withColumn("_obtained", F.lit(True))
+        return R.item_times(self.captures().join(docs, "doc_id", "left")).drop("stream_time", "doc_id")
+
+    def loader(self) -> Loader:
+        return make_loader(self.topics(), self.stats(), self.date_bins())
+
+    def routed_items(self, loader: Loader) -> DataFrame:
+        """Captures as the load job sees them: routed, or with the reason why not."""
+        judged = loader.judged(self.arrivals(), F.col("_obtained").isNotNull(), F.octet_length("clean_visible"))
+        return loader.routed(judged.drop("_obtained"))
 
     def stored(self) -> DataFrame:
         def build() -> DataFrame:
             path = new_path(self.spark, "stored-items")
-            write_items(self.to_store().drop("doc_id"), path)
+            loader = self.loader()
+            loader.load(self.routed_items(loader), path, finish=lambda rows: rows.withColumn("body", _body()))
             return read_items(self.spark, path)
 
         return self._once("stored", build)

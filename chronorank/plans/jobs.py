@@ -11,6 +11,7 @@ from chronorank.functions.text import has_text
 from chronorank.operators import analysis as A
 from chronorank.operators import export as E
 from chronorank.operators import feedback as FB
+from chronorank.operators import loading as LD
 from chronorank.operators import matching as MT
 from chronorank.operators import ranking as RK
 from chronorank.operators import routing as R
@@ -259,7 +260,14 @@ def route_assignments(c: Corpus) -> DataFrame:
 
 @job
 def route_load(c: Corpus) -> DataFrame:
-    return c.to_store().select(*STORED, "hour", "clean_visible")
+    """Rows of the stored table, as the load job makes them."""
+    return c.routed_items(c.loader()).where("reason is null").select(*STORED, "hour", "clean_visible")
+
+
+@job
+def rejected_items(c: Corpus) -> DataFrame:
+    """Captures that the load job does not store, and why."""
+    return c.routed_items(c.loader()).where("reason is not null").select(*LD.REJECTED)
 
 
 # feedback

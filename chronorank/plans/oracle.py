@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from chronorank.operators import loading as LD
+from chronorank.operators.routing import SIZE_LIMIT
 from chronorank.plans import jobs
 from chronorank.plans.corpus import NUGGETS_PER_TOPIC, SENTENCE, STOP
 from chronorank.functions.text import NON_SPACE, WORD
@@ -317,6 +319,13 @@ BODIES: dict[str, str] = {
         SELECT stream_id, query_id, round(margin, 6) AS margin FROM add_one JOIN captures USING (doc_id)""",
     "route_assignments": "SELECT stream_id, query_id FROM routed JOIN captures USING (doc_id)",
     "route_load": f"SELECT {STORED}, hour, clean_visible FROM stored",
+    "rejected_items": f"""
+        SELECT c.stream_id, d.source, CAST(strlen(d.clean_visible) AS BIGINT) AS n_bytes,
+               CASE WHEN d.doc_id IS NULL THEN '{LD.NO_BODY}'
+                    WHEN coalesce(length(d.clean_visible), 0) = 0 THEN '{LD.NO_TEXT}'
+                    ELSE '{LD.TOO_LARGE}' END AS reason
+        FROM captures c LEFT JOIN docs d USING (doc_id)
+        WHERE coalesce(length(d.clean_visible), 0) = 0 OR strlen(d.clean_visible) >= {SIZE_LIMIT}""",
     "feedback_docs": """
         SELECT query_id, stream_id, length, round(score, 6) AS score, rank FROM first_ranks WHERE rank <= 20""",
     "rm_terms": "SELECT query_id, term, rank, round(weight, 8) AS weight FROM relevance",

@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from chronorank.operators import routing as R
+from chronorank.operators.loading import make_loader
 from chronorank.operators.stats import CollectionStats
 from chronorank.operators.topics import Topics
-from chronorank.shared import fits
-from chronorank.sources.items import write_items
 
 
 def read_new_items(spark: SparkSession, path: str, schema: StructType, max_files: int = 1000) -> DataFrame:
@@ -31,22 +29,24 @@ def load_new_items(
     date_bins: DataFrame,
     table: str,
     checkpoint: str,
+    rejected: str | None = None,
+    **settings: int,
 ) -> StreamingQuery:
     """Route and store all items available now, then stop.
 
     ``items`` has ``stream_id``, ``stream_time``, ``source`` and ``body``.  A batch
     is written to a folder named by ``checkpoint`` and its number and replaced if
     it is run again.  So a restart after a failure leaves no duplicates, and
-    loads with checkpoints of their own add to one table.
+    loads with checkpoints of their own add to one table.  Items that are not
+    stored go to ``rejected`` in the same way.
     """
     load_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
-    small_bins = fits(date_bins)
+    loader = make_loader(topics, stats, date_bins, **settings)
 
     def load(batch: DataFrame, number: int) -> None:
-        timed = R.item_times(R.valid_items(batch)).withColumn("clean_visible", batch["body.clean_visible"])
-        routed = R.route(timed.select("stream_id", "clean_visible"), topics, stats, key="stream_id")
-        rows = R.stored_items(timed, routed, date_bins, key="stream_id", small_bins=small_bins)
-        write_items(rows, f"{table}/batch={load_id}-{number}", mode="overwrite")
+        part = f"batch={load_id}-{number}"
+        routed = loader.routed(loader.judged_items(batch))
+        loader.load(routed, f"{table}/{part}", f"{rejected}/{part}" if rejected else None, mode="overwrite")
 
     return (
         items.writeStream.foreachBatch(load)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chronorank.functions import ids as I
 from chronorank.functions import text as T
 from chronorank.operators import export as E
+from chronorank.operators import loading as LD
 from chronorank.operators import routing as R
 from chronorank.operators import scoring as SC
 from chronorank.operators import sentences as S
@@ -87,15 +88,99 @@ def test_scan_reads_only_the_query_and_columns(spark, tmp_path):
     assert "ReadSchema: struct<body:struct<clean_visible:string>>" in text
 
 
-def test_placed_rows_are_all_written(spark, tmp_path):
-    rows = spark.range(1000).select(
-        (F.col("id") % 3).cast("int").alias("query_id"), F.lit(1).alias("date_bin"),
+def skewed(spark):
+    """One query with most bytes, one of its hours larger than a file, and many small cells."""
+    rows = spark.range(6000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(100)))
+    return rows.select(
+        F.when(F.col("k") < 70, 1).otherwise(F.col("k").cast("int")).alias("query_id"),
+        F.when(F.col("k") < 40, 5).otherwise((F.col("id") % 50).cast("int")).alias("date_bin"),
         F.col("id").cast("string").alias("stream_id"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 512), 8).alias("clean_visible"),
+        F.lit(1024).cast("long").alias("n_bytes"),
     )
-    placed = SI.place_items(rows)
-    SI.write_items(placed, str(tmp_path / "placed"))
-    assert spark.read.parquet(str(tmp_path / "placed")).exceptAll(rows.select("date_bin", "stream_id", "query_id")).count() == 0
-    assert placed.count() == 1000
+
+
+def test_files_hold_about_equal_bytes(spark, tmp_path):
+    rows = skewed(spark)
+    size = 256 * 1024
+    placement = SI.plan_slots(rows, size)
+    by_slot = placement.of(rows).groupBy(SI.SLOT).agg(F.sum("n_bytes").alias("bytes"), F.count_distinct("query_id", "date_bin").alias("cells"))
+    found = {r[SI.SLOT]: r.bytes for r in by_slot.collect()}
+    assert sum(found.values()) == 6000 * 1024
+    assert max(found.values()) < 2 * size
+    assert len(found) <= 2 * (6000 * 1024 // size)
+    SI.write_items(rows.drop("n_bytes"), str(tmp_path / "placed"), placement=placement)
+    back = spark.read.parquet(str(tmp_path / "placed"))
+    assert back.count() == 6000
+    assert back.select("query_id", "date_bin", "stream_id").exceptAll(rows.select("query_id", "date_bin", "stream_id")).count() == 0
+    # of the query that holds most, files are of a size (the written ones as well)
+    sizes = [p.stat().st_size for p in (tmp_path / "placed" / "query_id=1").glob("*.parquet")]
+    assert len(sizes) > 4 and sorted(sizes)[-1] < 2.5 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_body_is_built_after_the_move(spark, tmp_path):
+    """Nothing but the narrow row crosses the exchange; the derived column is in the file."""
+    rows = skewed(spark)
+    seen = []
+
+    def finish(moved):
+        seen.append(moved._jdf.queryExecution().optimizedPlan().toString())
+        return moved.withColumn("body", F.struct("clean_visible", F.length("clean_visible").alias("n")))
+
+    SI.write_items(rows.drop("n_bytes"), str(tmp_path / "late"), placement=SI.plan_slots(rows), finish=finish)
+    assert "Repartition" in seen[0] and "body" not in seen[0]
+    assert SI.read_items(spark, str(tmp_path / "late")).select("body.n").distinct().count() == 1
+
+
+def test_few_keys_read_few_row_groups(spark, tmp_path):
+    rows = skewed(spark)
+    SI.write_items(rows.drop("n_bytes"), str(tmp_path / "keyed"), placement=SI.plan_slots(rows, 256 * 1024))
+    table = spark.read.parquet(str(tmp_path / "keyed"))
+    keys = rows.where("query_id = 1").limit(20).select("query_id", "stream_id")
+    keys = spark.createDataFrame(keys.collect(), "query_id int, stream_id string")
+    found = SI.lookup_items(table, keys)
+    assert found.select("query_id", "stream_id").exceptAll(keys).count() == 0 and found.count() == 20
+    # one key: of the files of its query, Bloom filters leave few
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = SI.lookup_items(table, keys.limit(1))
+        one.collect()
+        plan = one._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "PartitionFilters: [isnotnull(query_id" in plan.toString()
+    assert 0 < scanned_rows(plan) <= table.where("query_id = 1").count() / 4
+
+
+def scanned_rows(node):
+    """Rows that the largest scan of an executed plan gave, after row groups were left out."""
+    own = node.metrics().apply("numOutputRows").value() if "Scan parquet" in node.nodeName() else 0
+    children = node.children()
+    return max([own, *(scanned_rows(children.apply(at)) for at in range(children.size()))])
+
+
+def loaded(spark, tmp_path, limit):
+    topics = topic_vectors(spark.createDataFrame([(3, "two three"), (4, "storm w25 tagger")], "query_id int, query string"))
+    stats = ST.as_collection(spark.createDataFrame([("storm", 30.0), ("three", 1.0)], "term string, weight double"))
+    bins = spark.createDataFrame([("2012-01-01-05", 7), ("2012-01-01-06", 8)], "hour string, bin int")
+    given = items(spark).drop("doc_id")
+    LD.load_items(given, topics, stats, bins, str(tmp_path / "items"), str(tmp_path / "rejected"), limit=limit)
+    return SI.read_items(spark, str(tmp_path / "items")), spark.read.parquet(str(tmp_path / "rejected"))
+
+
+def test_load_keeps_rejected_items_with_a_reason(spark, tmp_path):
+    stored_items, rejected = loaded(spark, tmp_path, 600)
+    assert {r.stream_id: r.reason for r in rejected.collect()} == {"30-c": "no body", "40-d": "no text", "60-f": "too large"}
+    assert {r.stream_id: (r.query_id, r.date_bin, r.rowkey) for r in stored_items.collect()} == {
+        "10-a": (3, 7, "030007.10-a"), "20-b": (3, -1, None), "50-e": (4, 8, "040008.50-e"),
+    }
+    # the whole item counts, not its text alone
+    assert all(r.n_bytes >= 600 for r in rejected.where("reason = 'too large'").collect())
+
+
+def test_load_without_rejected_items(spark, tmp_path):
+    stored_items, rejected = loaded(spark, tmp_path, 10**9)
+    assert stored_items.count() == 4 and rejected.count() == 2
 
 
 def test_sentences(spark):

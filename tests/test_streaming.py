@@ -14,7 +14,8 @@ def test_incremental_load(spark, folder, tmp_path):
     stream = read_new_items(spark, arrived, spark.read.parquet(arrived).schema, max_files=1)
     topics, bins = corpus.topics(), corpus.date_bins()
     for _ in range(2):  # the second run finds nothing new
-        query = load_new_items(stream, topics, corpus.stats(), bins, table, str(tmp_path / "state"))
+        rejected = str(tmp_path / "rejected")
+        query = load_new_items(stream, topics, corpus.stats(), bins, table, str(tmp_path / "state"), rejected)
         query.awaitTermination()
     loaded = spark.read.parquet(table)
     assert loaded.select("batch").distinct().count() == 2
@@ -23,6 +24,11 @@ def test_incremental_load(spark, folder, tmp_path):
     assert loaded.count() == stored.count()
     assert loaded.select(*keys).exceptAll(stored.select(*keys)).count() == 0
     assert loaded.filter(F.col("body").isNull()).count() == 0
+    # every item that arrived is in one of both outputs
+    gone = spark.read.parquet(rejected)
+    assert gone.count() + loaded.count() == items.count()
+    assert {r.reason for r in gone.select("reason").distinct().collect()} == {"no body"}
+    assert gone.join(loaded, "stream_id").count() == 0
 
 
 def test_two_loads_into_one_table(spark, folder, tmp_path):
