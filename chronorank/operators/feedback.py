@@ -11,6 +11,7 @@ from chronorank.operators.scoring import score_routed, topic_models
 from chronorank.operators.stats import CollectionStats
 from chronorank.operators.topics import Topics, query_models, with_background
 from chronorank.shared import MAX_BROADCAST_ROWS, fits, materialize, side
+from chronorank.sources.items import scan_bins
 
 # Feedback documents and terms, interpolation weight, rerank depth.
 FEEDBACK_DOCS = 20
@@ -85,6 +86,27 @@ def rm3_model(topics: Topics, relevance: DataFrame, lam: float = LAMBDA) -> Data
     return query.unionByName(model).groupBy("query_id", "term").agg(F.sum("w").alias("w"))
 
 
+def rm3_rerank_hours(
+    stored: DataFrame,
+    topics: Topics,
+    stats: CollectionStats,
+    query_id: int,
+    low: int,
+    high: int,
+    stop: T.Stop = (),
+    **settings: int,
+) -> DataFrame:
+    """Feedback and rerank of one query within the hours ``low <= bin < high``.
+
+    Both passes read the files of that query and its hours only; feedback
+    documents come from the same hours.
+    """
+    one = Topics(
+        topics.terms.where(F.col("query_id") == query_id), topics.ids.where(F.col("query_id") == query_id), topics.small
+    )
+    return rm3_rerank(scan_bins(stored, query_id, low, high), one, stats, stop, **settings)
+
+
 def rm3_rerank(
     stored: DataFrame,
     topics: Topics,
@@ -106,13 +128,15 @@ def rm3_rerank(
     few = few_rows(topics, n_docs)
     # a few rows per query, read twice below: stored, so that the first pass runs once
     model = materialize(rm3_model(topics, rm_terms(feedback, stored, few, stop, n_terms), lam), "rm3-model")
-    models = query_models(topics, with_background(model, stats, topics.small))
+    # the expanded model has terms of its own: up to n_terms for each query, whatever the queries hold
+    small = fits(model)
+    models = query_models(topics, with_background(model, stats, small))
     if depth is None:
-        rescored = score_routed(stored, models, topics.small, stop)
+        rescored = score_routed(stored, models, small, stop)
         return rank_all(rescored.drop("length"), ["query_id"], by_score())
     kept = top_k(scores, ["query_id"], by_score(), depth, ["stream_id"]).select("query_id", "stream_id")
     reranked = stored.select("query_id", "stream_id", "clean_visible").join(
         side(kept, few_rows(topics, depth)), ["query_id", "stream_id"], "left_semi"
     )
-    rescored = score_routed(reranked, models, topics.small, stop)
+    rescored = score_routed(reranked, models, small, stop)
     return top_k(rescored.drop("length"), ["query_id"], by_score(), depth, ["stream_id"])

@@ -118,10 +118,14 @@ class Corpus:
 
     def date_bins(self) -> DataFrame:
         """Hours with captures, numbered from the first hour."""
-        hours = R.item_times(self.captures()).select("hour").distinct()
-        at = F.unix_seconds(F.to_timestamp("hour", T.HOUR_FORMAT))
-        first = hours.agg(F.min(at)).scalar()
-        return hours.select("hour", ((at - first) / 3600).cast("int").alias("bin"))
+
+        def build() -> DataFrame:
+            hours = R.item_times(self.captures()).select("hour").distinct()
+            at = F.unix_seconds(F.to_timestamp("hour", T.HOUR_FORMAT))
+            first = hours.agg(F.min(at)).scalar()
+            return materialize(hours.select("hour", ((at - first) / 3600).cast("int").alias("bin")), "date-bins")
+
+        return self._once("bins", build)
 
     def sentences(self) -> DataFrame:
         return S.update_ids(S.sentences(self.items(), keep=("doc_id", "stream_id")))

@@ -310,6 +310,12 @@ def rm3_rerank_shallow(c: Corpus) -> DataFrame:
     return rounded(FB.rm3_rerank(c.stored(), c.topics(), c.stats(), STOP, depth=SHALLOW_DEPTH))
 
 
+@job
+def rm3_rerank_hours(c: Corpus) -> DataFrame:
+    """One query over a range of hours."""
+    return rounded(FB.rm3_rerank_hours(c.stored(), c.topics(), c.stats(), SCAN_QUERY, SCAN_LOW, SCAN_HIGH, STOP))
+
+
 # sentences
 
 

@@ -243,6 +243,17 @@ RELATIONS: dict[str, str] = {
     "path_parts": "SELECT stream_id, replace(stream_id, '-', '') AS bare_id FROM captures",
 }
 
+# feedback and rerank again, from the first ranks within a query's hours on
+RELATIONS["hour_items"] = f"""
+        SELECT doc_id FROM stored
+        WHERE query_id = {jobs.SCAN_QUERY} AND date_bin >= {jobs.SCAN_LOW} AND date_bin < {jobs.SCAN_HIGH}"""
+FEEDBACK = [
+    "first_ranks", "feedback", "relevance_raw", "relevance_ranked", "relevance", "expanded", "expanded_cp", "rescored"
+]
+for _name in FEEDBACK:
+    _sql = re.sub(rf"\b({'|'.join(FEEDBACK)})\b", r"hour_\1", RELATIONS[_name])
+    RELATIONS[f"hour_{_name}"] = _sql.replace("FROM kl_first", "FROM kl_first JOIN hour_items USING (doc_id)")
+
 STORED = "query_id, date_bin, rowkey, stream_id, epoch_ms, source"
 
 BODIES: dict[str, str] = {
@@ -334,6 +345,10 @@ BODIES: dict[str, str] = {
         SELECT query_id, stream_id, round(score, 6) AS score,
                CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
         FROM rescored""",
+    "rm3_rerank_hours": """
+        SELECT query_id, stream_id, round(score, 6) AS score,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
+        FROM hour_rescored""",
     "rm3_rerank_top1000": """
         SELECT query_id, stream_id, round(score, 6) AS score,
                CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank

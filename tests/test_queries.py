@@ -32,6 +32,15 @@ def test_no_cross_join(spark, folder, name):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_scanned_hours_cut_the_query(spark):
+    """At a size where they do: rows before, within and after the hours."""
+    bins = QUERIES["scan_query"](spark, "/root/testdata/sf0.01").select("date_bin").collect()
+    places = [(r.date_bin >= jobs.SCAN_LOW) + (r.date_bin >= jobs.SCAN_HIGH) for r in bins]
+    assert all(places.count(n) for n in range(3))
+    assert QUERIES["scan_bins"](spark, "/root/testdata/sf0.01").count() == places.count(1)
+    assert QUERIES["rm3_rerank_hours"](spark, "/root/testdata/sf0.01").count() == places.count(1)
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "stream_id", "score", "rank"]

@@ -224,3 +224,23 @@ def test_top_k_of_any_depth(spark):
         plan = top._jdf.queryExecution().executedPlan().toString()
         # either groups are cut before they move, or no group is in one task at all
         assert ("WindowGroupLimit" in plan) == (k <= 1000)
+
+
+def test_many_short_queries_expand_beyond_the_bound(spark, monkeypatch):
+    """One-term queries are small; what feedback makes of them need not be."""
+    queries = {q: f"t{q}" for q in range(30)}
+    texts = [(f"s{q}-{i}", q, f"t{q} " + " ".join(f"w{q}x{j}" for j in range(i, i + 12))) for q in queries for i in range(3)]
+    stored = spark.createDataFrame(texts, "stream_id string, query_id int, clean_visible string")
+    topics = topic_vectors(spark.createDataFrame(list(queries.items()), "query_id int, query string"))
+    stats = ST.as_collection(ST.collection_stats(stored))
+    want = {(r.stream_id, r.rank, round(r.score, 9)) for r in FB.rm3_rerank(stored, topics, stats).collect()}
+    hints = []
+
+    def fits(df, max_rows=100):
+        hints.append(df.limit(max_rows + 1).count() <= max_rows)
+        return hints[-1]
+
+    # with a bound between the terms of the queries and those of the expanded models
+    monkeypatch.setattr(FB, "fits", fits)
+    assert {(r.stream_id, r.rank, round(r.score, 9)) for r in FB.rm3_rerank(stored, topics, stats).collect()} == want
+    assert topics.small and hints[-1] is False
