@@ -4,11 +4,16 @@
 ``BENCH_QUERIES``  names to run instead of the default list.
 
 Every query is planned and forced with the ``noop`` sink: one warm-up, then the
-median of the timed runs.  ``build_stored`` and ``build_out`` are single runs of
-the jobs that write the tables later jobs read (statistics, routed items and
-sentence scores), so the cost of those tables is part of the total.  So is
-``ingest``: the given tables are files of one row group, which only one core can
-read; they are first written again in a file for each core, as any ingest would.
+median of the timed runs.  The ``build_`` times are single runs of the jobs that
+write the tables later jobs read (statistics of both collections, hours, routed
+items, sentence scores, sentences of judged documents), so the cost of all those
+tables is part of the total.  So is ``ingest``: the given tables are files of one
+row group, which only one core can read; they are first written again in a file
+for each core, as any ingest would.
+
+``shuffle_mb`` are the bytes that a build or one run of a query shuffles.
+``growth`` compares the heaviest queries with one run over the folder
+``BENCH_SMALL_DIR`` (ten times less by default), if there is one.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ HEADLINE = [
 ]
 
 
+HEAVIEST = ["route", "rm3_rerank", "sentence_scores", "sentence_dump"]
+BUILDS = ("stats_table", "external_stats", "date_bins", "stored", "out", "pooled")
 TABLES = ("documents", "events", "benchmark", "labels", "pages", "conversations")
 
 
@@ -69,26 +76,46 @@ def main() -> None:
     verbose = bool(os.environ.get("BENCH_VERBOSE"))
 
     given, folder = folder, new_path(spark, "bench-input")
+    small = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
 
-    def ingest() -> None:
+    def shuffled() -> float:
+        """MB shuffled so far."""
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() / 1e6
+
+    def ingest(source: str, target: str) -> None:
         for name in TABLES:
-            table = spark.read.parquet(f"{given}/{name}.parquet")
-            table.repartition(int(cpus)).write.parquet(f"{folder}/{name}.parquet")
+            table = spark.read.parquet(f"{source}/{name}.parquet")
+            table.repartition(int(cpus)).write.parquet(f"{target}/{name}.parquet")
+
+    def force(name: str, source: str) -> None:
+        registered[name](spark, source).write.format("noop").mode("overwrite").save()
 
-    def force(name: str) -> None:
-        registered[name](spark, folder).write.format("noop").mode("overwrite").save()
+    seconds: dict[str, float] = {}
+    shuffle_mb: dict[str, float] = {}
+
+    def measure(name: str, action) -> float:
+        before, took = shuffled(), timed(action)
+        shuffle_mb[name] = round(shuffled() - before, 1)
+        if verbose:
+            print(name, took, shuffle_mb[name], file=sys.stderr, flush=True)
+        return took
 
     spark.read.parquet(f"{given}/documents.parquet").write.format("noop").mode("overwrite").save()
-    seconds: dict[str, float] = {"ingest": timed(ingest)}
-    seconds["build_stored"] = timed(lambda: Corpus(spark, folder).stored())
-    seconds["build_out"] = timed(lambda: Corpus(spark, folder).out())
-    if verbose:
-        print(seconds, file=sys.stderr, flush=True)
+    seconds["ingest"] = measure("ingest", lambda: ingest(given, folder))
+    corpus = Corpus(spark, folder)
+    for table in BUILDS:
+        name = f"build_{table.removesuffix('_table')}"
+        seconds[name] = measure(name, getattr(corpus, table))
     for name in names:
-        force(name)
-        seconds[name] = statistics.median(timed(lambda: force(name)) for _ in range(runs))
-        if verbose:
-            print(name, seconds[name], file=sys.stderr, flush=True)
+        force(name, folder)
+        seconds[name] = statistics.median(measure(name, lambda: force(name, folder)) for _ in range(runs))
+    growth: dict[str, float] = {}
+    if os.path.isdir(small) and os.path.realpath(small) != os.path.realpath(given):
+        less = new_path(spark, "bench-small")
+        ingest(small, less)
+        for table in BUILDS:
+            getattr(Corpus(spark, less), table)()
+        growth = {name: round(seconds[name] / timed(lambda: force(name, less)), 2) for name in HEAVIEST if name in seconds}
     print(
         json.dumps(
             {
@@ -96,6 +123,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "shuffle_mb": shuffle_mb,
+                "growth": growth,
                 "sf": os.path.basename(given.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
             }
