@@ -8,6 +8,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -17,8 +18,12 @@ BLANK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Mark of a text that longer pieces start with.
+STARTS = 2
 #: Remembered paths of parts of a text, and joints of pieces, in a task.
-MEMORY = 250_000
+MEMORY = 150_000
+#: Parts up to this length are looked up as a whole.
+WORD = 32
 #: Largest model file that is sent to the tasks.
 MODEL_BYTES = 32 << 20
 
@@ -74,7 +79,8 @@ class PieceTransducer:
     merges leave apart; any other joint has infinite weight.  Since every part of
     a merged text is merged in itself, the path of weight 0 is unique and is
     the result of the merges.  Either way the tropical shortest path is found
-    from left to right, keeping the best arc into each place (at weight 0: the only one).
+    from left to right: at weights, keeping the best arc into each place; at weight 0, by following arcs
+    of that weight.
     """
 
     def __init__(self, model: bytes) -> None:
@@ -99,14 +105,22 @@ class PieceTransducer:
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.longest = max(map(len, self.ids), default=1)
-        self.starts = {t[:n] for t in self.ids for n in range(1, len(t))}
+        # what reads on: whether it is a piece, and whether a longer one starts with it
+        self.arcs = dict.fromkeys((t[:n] for t in self.ids for n in range(1, len(t))), STARTS)
+        for piece in self.ids:
+            self.arcs[piece] = self.arcs.get(piece, 0) + 1
         # no piece goes on over a blank that isn't at its start, or over a line end: paths of such parts are independent
         apart = not any(BLANK in t.lstrip(BLANK) or "\n" in t for t in self.ids)
         self.parts = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n") if apart else re.compile("(?s).+")
         # nor do pieces join two characters that none of them has side by side
         self.pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        self.shorter: dict[str, str] = {}
         self.joints: dict[str, dict[str, bool]] = {}
         self.n_joints = 0
+        raw = [b"" if k == CONTROL else t.encode() for t, k in zip(self.texts, self.kinds, strict=True)]
+        for byte, i in self.bytes.items():
+            raw[i] = bytes([byte])
+        self.raw = pa.array(raw, pa.large_binary())
         self.memory: dict[str, array] = {}
         self.older: dict[str, array] = {}
 
@@ -145,30 +159,55 @@ class PieceTransducer:
         return self._merge_path(text) if self.model_type == BPE else self._score_path(text)
 
     def _merge_path(self, text: str) -> list[str]:
-        ids, starts, joints, joint = self.ids, self.starts, self.joints, self._joint
-        size = len(text)
-        into: list[str | None] = [None] * (size + 1)
-        for start in range(size):
-            last = into[start]
-            if last is None:
-                if start:
-                    continue
-                # before the first piece stands nothing: it must be what its own merges give
-                last = ""
-            known = joints.get(last) or {}
-            # one character, then as long as some piece goes on like this
-            for end in range(start + 1, size + 1):
-                piece = text[start:end]
-                if into[end] is None and (piece in ids or end == start + 1):
-                    apart = known.get(piece)
-                    if apart or apart is None and joint(last, piece):
-                        into[end] = piece
-                if piece not in starts:
-                    break
-        if into[-1] is None and text:
-            # equal scores (runs of blanks) can leave no path of weight 0
-            return self.merged(text)
-        return self._back(into)
+        """The path of weight 0, longest arcs first.
+
+        A place is reached by one such path at most, as what leads there are the
+        merges of the text before it.  So a place that nothing goes on from is
+        left for good, and every place is tried once.
+        """
+        arcs, joints, joint, shorter, size = self.arcs, self.joints, self._joint, self.shorter, len(text)
+        path: list[str] = []
+        left_for_good: set[int] = set()
+        at, last, known = 0, "", joints.get("")
+        while at < size:
+            # the longest piece that reads on from here
+            end, piece = at + 1, text[at]
+            kind = arcs.get(piece, 0)
+            while kind >= STARTS and end < size:
+                end += 1
+                kind = arcs.get(text[at:end], 0)
+                if kind & 1:
+                    piece = text[at:end]
+            while True:
+                if not left_for_good or at + len(piece) not in left_for_good:
+                    apart = known.get(piece) if known else None
+                    if apart is None:
+                        apart = joint(last, piece)
+                    if apart:
+                        break
+                piece = shorter.get(piece) or self._shorter(piece)
+                while not piece:
+                    left_for_good.add(at)
+                    if not path:
+                        # equal scores (runs of blanks) can leave no path of weight 0
+                        return self.merged(text)
+                    piece = path.pop()
+                    at -= len(piece)
+                    last = path[-1] if path else ""
+                    known = joints.get(last)
+                    piece = self._shorter(piece)
+            path.append(piece)
+            at += len(piece)
+            last, known = piece, joints.get(piece)
+        return path
+
+    def _shorter(self, piece: str) -> str:
+        """The next shorter arc that reads the start of what ``piece`` reads."""
+        found = self.shorter.get(piece)
+        if found is None:
+            found = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.ids), "")
+            self.shorter[piece] = found
+        return found
 
     @staticmethod
     def _back(into: list[str | None]) -> list[str]:
@@ -196,27 +235,32 @@ class PieceTransducer:
         return self._back(into)
 
     def _write(self, part: str) -> array:
-        """Ids of a part, remembered; of its pieces between characters that no piece joins, likewise."""
+        """Ids of a part, remembered; of a long one's pieces between characters that no piece joins, likewise."""
         out = self.older.get(part)
         if out is None:
-            pairs = self.pairs
-            cuts = [i + 1 for i in range(len(part) - 1) if part[i : i + 2] not in pairs]
+            size, pairs = len(part), self.pairs
+            cuts = [i for i in range(1, size) if part[i - 1 : i + 1] not in pairs] if size > WORD else []
             if cuts:
                 out = array("i")
-                for start, end in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                for start, end in zip([0, *cuts], [*cuts, size], strict=True):
                     found = self.memory.get(part[start:end])
                     out.extend(self._write(part[start:end]) if found is None else found)
             else:
                 out = self._path_ids(part)
-        if len(part) < 64:
+        if len(part) < 2 * WORD:
             if len(self.memory) >= MEMORY:
                 self.older, self.memory = self.memory, {}
             self.memory[part] = out
         return out
 
     def _path_ids(self, part: str) -> array:
+        path = self.shortest_path(part)
+        try:
+            return array("i", map(self.ids.__getitem__, path))
+        except KeyError:
+            pass
         out = array("i")
-        for piece in self.shortest_path(part):
+        for piece in path:
             known = self.ids.get(piece)
             if known is not None:
                 out.append(known)
@@ -227,39 +271,32 @@ class PieceTransducer:
         return out
 
     def encode(self, text: str | None) -> array:
-        out = array("i")
-        for part in self.parts.findall(self.normalise(text or "")):
-            known = self.memory.get(part)
-            out.extend(self._write(part) if known is None else known)
-        return out
-
-    def decode(self, ids) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing."""
-        if not self.bytes:
-            out = "".join(self.texts[i] for i in ids if self.kinds[i] != CONTROL)
-        else:
-            low, high = min(self.bytes.values()), max(self.bytes.values())
-            if any(low <= i <= high for i in set(ids)):
-                out = b"".join(self._raw[i] for i in ids).decode("utf-8", "replace")
-            else:
-                out = "".join([self._plain[i] for i in ids])
+        parts = self.parts.findall(self.normalise(text or ""))
+        known = list(map(self.memory.get, parts))
+        if None in known:
+            write, memory = self._write, self.memory
+            for at, found in enumerate(known):
+                if found is None:
+                    part = parts[at]
+                    known[at] = memory.get(part) or write(part)
+                    memory = self.memory
+        return array("i", b"".join(known))
+
+    def decode(self, ids: pa.ListArray) -> list[str]:
+        """Texts of lists of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing.
+
+        Taken pieces stand one after another in memory, so a text is a slice of it.
+        """
+        taken = self.raw.take(ids.flatten())
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        data = memoryview(taken.buffers()[2]) if len(taken) else memoryview(b"")
+        # a null list may hold values that flatten leaves out
+        sizes = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.diff(ids.offsets.to_numpy()), 0)
+        at = ends[np.r_[0, np.cumsum(sizes)]].tolist()
+        texts = [str(data[start:end], "utf-8", "replace") for start, end in zip(at, at[1:], strict=False)]
         if self.escape:
-            out = out.replace(BLANK, " ")
-        return out[1:] if self.prefix and out.startswith(" ") else out
-
-    @property
-    def _plain(self) -> list[str]:
-        if not hasattr(self, "_plain_texts"):
-            self._plain_texts = ["" if k == CONTROL else t for t, k in zip(self.texts, self.kinds, strict=True)]
-        return self._plain_texts
-
-    @property
-    def _raw(self) -> list[bytes]:
-        if not hasattr(self, "_raw_texts"):
-            self._raw_texts = [t.encode() for t in self._plain]
-            for byte, i in self.bytes.items():
-                self._raw_texts[i] = bytes([byte])
-        return self._raw_texts
+            texts = [text.replace(BLANK, " ") for text in texts]
+        return [text.removeprefix(" ") for text in texts] if self.prefix else texts
 
 
 @lru_cache(2)
@@ -293,10 +330,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = compiled(model)
         for batch in batches:
-            texts = [
-                pieces.decode(value.values.to_numpy().tolist() if value.is_valid else []) for value in batch.column(ids)
-            ]
-            yield _with(batch, out, pa.array(texts, pa.string()))
+            yield _with(batch, out, pa.array(pieces.decode(batch.column(ids)), pa.string()))
 
     return df.mapInArrow(run, _extended(df, out, T.StringType()))
 
