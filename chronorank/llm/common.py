@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from chronorank.shared import fits, materialize
 #: Side tables with at most this many narrow rows may be replicated.
 MAX_SIDE_ROWS = 1_000_000
 
+Batch = TypeVar("Batch")
+
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _SHIFT = np.uint64(29)
 
@@ -48,6 +53,18 @@ def in_buckets(rows: DataFrame, keys: list[str], by: str, most: int, name: str)
     return rows.repartition(*keys, "meet").sortWithinPartitions(*keys, "meet")
 
 
+def released(batches: Iterator[Batch]) -> Iterator[Batch]:
+    """``batches``, and what they and earlier tasks of this worker have freed goes back to the system at their end.
+
+    Workers outlive their tasks and, by their allocators, keep the most that any of them has held.
+    """
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def neighbours(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The sorted rows of a task, cut only between different ``keys``."""
     held: list[pd.DataFrame] = []

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronorank.llm.common import Forest, MinHash, shingle_set, small_side
+from chronorank.llm.common import Forest, MinHash, released, shingle_set, small_side
 from chronorank.llm.components import components
 from chronorank.shared import materialize
 
@@ -77,7 +77,7 @@ def _marker(k: int):
     minima = MinHash(CHUNKS * WIDTH)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+        for rows in released(batches):
             sets = [shingle_set(text, k) for text in rows["text"]]
             yield pd.DataFrame(
                 {
@@ -126,7 +126,7 @@ def _close_signatures(classes: DataFrame, bucket_rows: int) -> DataFrame:
 def _span_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Spanning forests of the close rows with equal (key, meet); input is sorted by these."""
     held: list[pd.DataFrame] = []
-    for rows in batches:
+    for rows in released(batches):
         end = (rows["key"].iat[-1], rows["meet"].iat[-1]) if len(rows) else None
         if end is None:
             continue

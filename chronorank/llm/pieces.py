@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from chronorank.llm.common import released
+
 #: What escapes a blank in pieces.
 BLANK = "▁"
 #: Kinds of pieces in a model file.
@@ -305,23 +307,26 @@ def compiled(model: bytes) -> PieceTransducer:
     return PieceTransducer(model)
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with the ids of the whole of column ``text`` in a new column ``out``; a null text has none.
 
-    Rows stay where they are.  A column of the new name is replaced.
+    With ``decoded``, a column of that name has what the ids decode to, from the
+    same pass.  Rows stay where they are.  Columns of the new names are replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = compiled(model)
-        for batch in batches:
+        for batch in released(batches):
             flat, ends = array("i"), array("i", [0])
             for value in batch.column(text):
                 flat.extend(pieces.encode(value.as_py()))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(memoryview(ends)), pa.array(memoryview(flat), pa.int32()))
-            yield _with(batch, out, ids)
+            rows = _with(batch, out, ids)
+            yield _with(rows, decoded, pa.array(pieces.decode(ids), pa.string())) if decoded else rows
 
-    return df.mapInArrow(run, _extended(df, out, T.ArrayType(T.IntegerType())))
+    schema = _extended(df.schema, out, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, _extended(schema, decoded, T.StringType()) if decoded else schema)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -329,10 +334,10 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = compiled(model)
-        for batch in batches:
+        for batch in released(batches):
             yield _with(batch, out, pa.array(pieces.decode(batch.column(ids)), pa.string()))
 
-    return df.mapInArrow(run, _extended(df, out, T.StringType()))
+    return df.mapInArrow(run, _extended(df.schema, out, T.StringType()))
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -340,5 +345,5 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), column], [*names, name])
 
 
-def _extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+def _extended(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronorank.llm.common import small_side
+from chronorank.llm.common import released, small_side
 from chronorank.shared import materialize
 
 #: Characters of an n-gram; each one takes 16 bits of a 64-bit key.
@@ -18,7 +18,7 @@ ORDER = 4
 #: Documents that are scored together against the n-grams they ask for.
 BLOCK_DOCS = 5_000
 #: Characters whose n-grams a task sorts at once.
-STEP = 4_000_000
+STEP = 2_000_000
 #: A document's mean is drawn to that of its language with the weight of so many characters.
 STEADY = 80.0
 #: Quantiles of trusted and of rejected documents that a threshold lies between.
@@ -38,7 +38,7 @@ def character_grams(text: str | None, order: int = ORDER) -> np.ndarray:
 
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, size = [], 0
-    for rows in batches:
+    for rows in released(batches):
         for text in rows["text"]:
             held.append(character_grams(text))
             size += len(held[-1])
@@ -167,17 +167,29 @@ def perplexities(docs: DataFrame, model: KneserNey, block_docs: int = BLOCK_DOCS
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=3).compress
-    for rows in batches:
+    for rows in released(batches):
         rows["packed"] = [pack((text or "").encode("utf-8", "replace")) for text in rows["text"]]
         yield rows.astype({"doc_id": "Int64"})[["block", "doc_id", "lang", "packed"]]
 
 
 def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
+    """Different n-grams of each block, of up to ``STEP`` characters at a time."""
+
+    def different(block: int, held: list[np.ndarray]) -> pd.DataFrame:
+        keys = np.unique(np.concatenate(held))
+        return pd.DataFrame({"block": np.full(len(keys), block, np.int32), "key": keys})
+
+    for rows in released(batches):
         for block, texts in rows.groupby("block", sort=False)["text"]:
-            own = [np.unique(character_grams(text)) for text in texts]
-            keys = np.unique(np.concatenate(own))
-            yield pd.DataFrame({"block": np.full(len(keys), block, np.int32), "key": keys})
+            held, size = [], 0
+            for text in texts:
+                held.append(np.unique(character_grams(text)))
+                size += len(held[-1])
+                if size >= STEP:
+                    yield different(block, held)
+                    held, size = [], 0
+            if held:
+                yield different(block, held)
 
 
 def _sum_block(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:

@@ -97,7 +97,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document, and whether they decode to its text."""
     model = pieces.read_model(spark, TOKENIZER)
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.encode(docs, model, decoded="decoded")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
     return both.select(
         "doc_id",

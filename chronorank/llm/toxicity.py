@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronorank.llm.common import released
 from chronorank.shared import materialize
 
 #: Labelled documents the model is fitted on, at most; by order of a hash of the id.
@@ -136,7 +137,7 @@ def _odds(sample: DataFrame, lexicon: int):
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
+    for rows in released(batches):
         toxic, others = Counter(), Counter()
         for text, label in zip(rows["text"], rows["toxic"], strict=True):
             (toxic if label else others).update(set(_WORD.findall((text or "").lower())))
@@ -218,7 +219,7 @@ def _best_segments(docs: DataFrame, model: ToxicityModel, keys: str) -> DataFram
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = _token_scores(model)
-        for rows in batches:
+        for rows in released(batches):
             found = [_passages(text, score) for text in rows["text"]]
             out = rows[names].copy()
             out["best"] = [max((s for *_, s in p), default=0.0) for _, p in found]
@@ -264,7 +265,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = _token_scores(model)
-        for rows in batches:
+        for rows in released(batches):
             found = [_passages(text, score) for text in rows["text"]]
             words = np.array([float(n) for n, _ in found])
             best = np.array([max((s for *_, s in p), default=0.0) for _, p in found])

@@ -114,6 +114,7 @@ def test_pieces_edges(spark, docs):
     got = pieces.decode(pieces.encode(named, model), model)
     assert got.columns == ["doc_id", "text", "ids", "decoded"]
     assert all(r.decoded == (r.text or "") for r in got.collect())
+    assert rows_of(pieces.encode(named, model, decoded="decoded")) == rows_of(got)
     assert pieces.encode(docs.limit(0), model).collect() == []
 
 
