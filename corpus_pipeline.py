@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chronorank.llm import pieces
 from chronorank.llm.common import small_side
-from chronorank.llm.mixing import mix
+from chronorank.llm.mixing import mix, word_count
 from chronorank.llm.near_dup import near_duplicates
 from chronorank.llm.quality import judge_quality
 from chronorank.llm.toxicity import fit_toxicity, score_toxicity
@@ -50,20 +50,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the ones it cuts rounded to whole ones.
+    """Documents as often as the mix takes them, in whole documents, at least one of each it takes words of.
 
-    Sources weigh 5, 2, 1 by name, and take 150 % of all words with at most two passes.
+    Sources weigh 5, 2, 1 by name, and take 150 % of all words with at most two
+    passes.  Rows of the same id, source and size are taken alike, null ids included.
     """
-    copies = mix(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("n"))
-    copies = materialize(copies.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("n").alias("n")).where("n > 0"), "copies")
-    rows = docs.select(*COLUMNS).join(small_side(copies), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
+    keys = ["doc_id", "source", "size"]
+    copies = mix(docs).where("taken > 0").groupBy(*keys).agg(F.max(times).alias("n"))
+    copies = materialize(copies.select(*(F.col(c).alias(f"taken_{c}") for c in keys), "n"), "copies")
+    rows = docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))
+    same = [F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in keys]
+    rows = rows.join(small_side(copies), same[0] & same[1] & same[2])
     return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the pieces of every document, and whether decoding them gives its text back."""
     model = pieces.read_model(spark, TOKENIZER)
-    both = pieces.decode(pieces.encode(docs.select(*COLUMNS), model), model)
+    both = pieces.encode(docs.select(*COLUMNS), model, decoded="decoded")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.BLANK), F.lit(" "))
     return both.select(
         "doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), (F.col("decoded") == text).alias("round_trip")
