@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,7 +24,9 @@ UNIGRAM, BPE = 1, 2
 #: Mark of a text that longer pieces start with.
 STARTS = 2
 #: Remembered paths of parts of a text, and joints of pieces, in a task.
-MEMORY = 150_000
+MEMORY, JOINTS = 80_000, 250_000
+#: Bytes of texts that a task encodes at a time.
+STEP = 2 << 20
 #: Parts up to this length are looked up as a whole.
 WORD = 32
 #: Largest model file that is sent to the tasks.
@@ -148,7 +151,7 @@ class PieceTransducer:
 
     def _joint(self, left: str, right: str) -> bool:
         """Whether the merges leave these two pieces apart: weight 0, else infinite."""
-        if self.n_joints >= 4 * MEMORY:
+        if self.n_joints >= JOINTS:
             self.joints.clear()
             self.n_joints = 0
         self.n_joints += 1
@@ -317,13 +320,14 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids", de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = compiled(model)
         for batch in released(batches):
-            flat, ends = array("i"), array("i", [0])
-            for value in batch.column(text):
-                flat.extend(pieces.encode(value.as_py()))
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(memoryview(ends)), pa.array(memoryview(flat), pa.int32()))
-            rows = _with(batch, out, ids)
-            yield _with(rows, decoded, pa.array(pieces.decode(ids), pa.string())) if decoded else rows
+            for rows in _steps(batch, text):
+                flat, ends = array("i"), array("i", [0])
+                for value in rows.column(text):
+                    flat.extend(pieces.encode(value.as_py()))
+                    ends.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(memoryview(ends)), pa.array(memoryview(flat), pa.int32()))
+                rows = _with(rows, out, ids)
+                yield _with(rows, decoded, pa.array(pieces.decode(ids), pa.string())) if decoded else rows
 
     schema = _extended(df.schema, out, T.ArrayType(T.IntegerType()))
     return df.mapInArrow(run, _extended(schema, decoded, T.StringType()) if decoded else schema)
@@ -340,6 +344,16 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
     return df.mapInArrow(run, _extended(df.schema, out, T.StringType()))
 
 
+def _steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``STEP`` bytes of texts, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+    step = (np.cumsum(sizes) - sizes) // STEP
+    cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     names = [c for c in batch.schema.names if c != name]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), column], [*names, name])

@@ -22,7 +22,7 @@ def test_stages_keep_columns_and_act(spark):
 
 
 def test_registered():
-    assert [f"op{n}" for n in range(1, 11)] == [name.split("_")[0] for name in queries.queries()]
+    assert [f"op{n}" for n in range(1, 14)] == [name.split("_")[0] for name in queries.queries()]
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
@@ -32,3 +32,15 @@ def test_sql(spark, folder):
     con = compare.connect(folder)
     for name, sql in queries.oracle_sql().items():
         assert compare.compare(spark, con, folder, name, queries.queries()[name], sql)[1] == ""
+
+
+def test_mix_keeps_rows_without_ids_apart_and_single_long_documents(spark):
+    rows = [(None, "one two three", "en", "a", 0), (None, None, "en", "a", 0), (None, " ", "en", "a", 0)]
+    rows += [(1, "word " * 900, "en", "b", 0), (2, "x y", "en", None, 0)] + [(10 + i, "w " * 40, "en", "a", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mixing(spark, docs, "").collect()
+    # blank rows have no words to take, and a row isn't taken for another one
+    assert all((r.text or "").strip() for r in mixed)
+    assert 1 <= sum(r.doc_id is None for r in mixed) <= 2
+    assert 1 <= sum(r.doc_id == 1 for r in mixed) <= 2
+    assert corpus_pipeline.mixing(spark, docs.limit(0), "").collect() == []
