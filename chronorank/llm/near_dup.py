@@ -36,34 +36,42 @@ def near_duplicates(
     Links texts whose sets of distinct ``k``-word shingles have
     ``100 * intersection >= percent * union``, on the full sets.
 
-    1. Equal sets are one class, named by its smallest id; the rest works on classes.
+    1. Equal sets are one class with a number of its own; the rest works on classes.
     2. A class has ``CHUNKS * WIDTH`` minima of 16 bits.  Every chunk with one
        symbol left out is a key, so any two signatures within ``MOST_DIFFERING``
        symbols share a key.  Rows with a key are compared by signature, and only
        a spanning forest of the close ones is passed on: no pairs are listed.
     3. Components of these forests are clusters.  In each one the full sets are
        compared, and again a spanning forest of the links is passed on.
+    4. Groups of classes are named by their smallest doc_id.
 
     Buckets and clusters above the limits are split in parts that meet two by
     two.  Null and blank texts have an empty set and no links.  A null id gets
     the group of its equal set if that has an id, else none, and is kept then.
-    Repeated rows have equal results; other columns are ignored.
+    Rows of one id are one document, so their texts, if different, are in one
+    group; no text is left out.  Repeated rows have equal results; other columns
+    are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     marks = materialize(
         docs.mapInPandas(_marker(k), "doc_id long, n_shingles long, set_id binary, signature binary"), "marks"
     )
-    classes = materialize(
-        marks.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
-        "classes",
+    sets = marks.where("n_shingles > 0 and doc_id is not null")
+    classes = sets.groupBy("set_id").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
     )
+    # numbers of the written rows: two classes may have the same smallest doc_id
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     clusters = materialize(components(_close_signatures(classes, bucket_rows)), "clusters")
-    links = _confirmed_links(docs, classes, clusters, k, percent, cluster_shingles)
-    groups = components(links)
-    named = classes.join(groups, "id", "left").select("set_id", F.coalesce("component", "id").alias("of_set"))
-    return marks.join(materialize(named, "groups"), "set_id", "left").select(
+    per_id = sets.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
+    repeated = materialize(per_id.where("rows > 1").drop("rows"), "repeated_ids")
+    links = _confirmed_links(docs, repeated, classes, clusters, k, percent, cluster_shingles)
+    groups = materialize(components(links.union(_same_document(sets, repeated, classes))), "groups")
+    linked = groups.join(classes.select("id", "least"), "id")
+    names = materialize(linked.groupBy("component").agg(F.min("least").alias("name")), "names")
+    named = groups.join(small_side(names), "component").select("id", "name")
+    named = classes.join(named, "id", "left").select("set_id", F.coalesce("name", "least").alias("of_set"))
+    return marks.join(materialize(named, "named"), "set_id", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("of_set", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -73,6 +81,28 @@ def near_duplicates(
     )
 
 
+def _same_document(sets: DataFrame, repeated: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes of the different texts of one doc_id."""
+    several = repeated.where("low <> high").select("doc_id", "low")
+    pairs = sets.select("doc_id", "set_id").join(small_side(several), "doc_id").where("set_id <> low")
+    pairs = materialize(pairs.select("low", "set_id").distinct(), "repeated_sets")
+    low, other = (classes.select(F.col("set_id").alias(c), F.col("id").alias(e)) for c, e in (("low", "a"), ("set_id", "b")))
+    return pairs.join(low, "low").join(other, "set_id").select("a", "b")
+
+
+def _sets_of(k: int):
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in released(batches):
+            names = [_set_id(shingle_set(text, k)) for text in rows["text"]]
+            yield pd.DataFrame({"set_id": names, "text": rows["text"]})
+
+    return sets_of
+
+
+def _set_id(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _marker(k: int):
     minima = MinHash(CHUNKS * WIDTH)
 
@@ -83,7 +113,7 @@ def _marker(k: int):
                 {
                     "doc_id": rows["doc_id"],
                     "n_shingles": [len(s) for s in sets],
-                    "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                    "set_id": [_set_id(s) for s in sets],
                     "signature": [minima(s).tobytes() for s in sets],
                 }
             )
@@ -165,9 +195,15 @@ def _forest_of(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _confirmed_links(
-    docs: DataFrame, classes: DataFrame, clusters: DataFrame, k: int, percent: int, cluster_shingles: int
+    docs: DataFrame,
+    repeated: DataFrame,
+    classes: DataFrame,
+    clusters: DataFrame,
+    k: int,
+    percent: int,
+    cluster_shingles: int,
 ) -> DataFrame:
-    members = materialize(clusters.join(classes.select("id", "n"), "id"), "members")
+    members = materialize(clusters.join(classes.select("id", "n", "set_id", "least"), "id"), "members")
     large = materialize(
         members.groupBy("component").agg(F.sum("n").alias("all")).where(F.col("all") > cluster_shingles).select(
             "component", F.ceil(F.col("all") / cluster_shingles).cast("int").alias("parts")
@@ -177,8 +213,15 @@ def _confirmed_links(
     members = materialize(members.join(small_side(large), "component", "left"), "members")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-    # a repeated row of an id would only be compared with itself
-    texts = docs.join(small_side(members.select("id", "component", "parts")), F.col("doc_id") == F.col("id"))
+    once = docs.join(small_side(repeated.select("doc_id")), "doc_id", "left_anti").select("doc_id", "text")
+    wanted = members.select("id", "component", "parts", "least", "set_id")
+    texts = once.join(small_side(wanted.drop("set_id")), F.col("doc_id") == F.col("least"))
+    # an id does not tell which of its texts a class has; its set does
+    again = docs.join(small_side(repeated.select("doc_id")), "doc_id", "left_semi").select("text")
+    again = again.mapInPandas(_sets_of(k), "set_id binary, text string").groupBy("set_id").agg(F.first("text").alias("text"))
+    again = again.join(wanted.join(small_side(repeated.select(F.col("doc_id").alias("least"))), "least", "left_semi"), "set_id")
+    columns = ["component", "id", "text", "parts"]
+    texts = texts.select(*columns).union(again.select(*columns))
     blocks = texts.select("component", "id", "text", part.alias("part"), F.explode(others).alias("other")).select(
         "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "text"
     )
@@ -191,7 +234,6 @@ def _confirmed_links(
 
 def _links_within(rows: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
     """Spanning forest of the links between the rows of one block, or of two different ones."""
-    rows = rows.drop_duplicates("id")
     cross = rows["i"].iat[0] != rows["j"].iat[0]
     ids, parts = rows["id"].to_numpy(), rows["part"].to_numpy()
     sets = [shingle_set(text, k) for text in rows["text"]]

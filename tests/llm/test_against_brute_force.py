@@ -65,6 +65,25 @@ def test_near_duplicates(spark, near_copies, k, percent, bucket, cluster):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_different_texts_of_one_id_all_keep_their_links(spark, turned):
+    words = {name: [f"{name}{i}" for i in range(60)] for name in "abc"}
+    a, b, c = (" ".join(words[name]) for name in "abc")
+    near_a, near_b = (" ".join([*words[name][:-1], "end"]) for name in "ab")
+    rows = [(5, a), (5, b), (7, near_a), (9, near_b), (11, c), (11, c), (11, None), (12, c), (None, b), (13, "other words here")]
+    table = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, near_dup.near_duplicates(table).collect()), key=repr)
+    want = [(5, 58, 5, True)] * 2 + [(7, 58, 5, False), (9, 58, 5, False), (None, 58, 5, False)]
+    want += [(11, 58, 11, True)] * 2 + [(11, 0, 11, True), (12, 58, 11, False), (13, 1, 13, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_one_id_on_a_third_of_the_rows(spark):
+    rows = [(1, " ".join(f"x{n}y{i}" for i in range(20))) for n in range(300)] + [(2 + n, f"t{n} u v w") for n in range(600)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == r.doc_id and r.kept for r in got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (101, 102), (5, 5)], "a long, b long")
     got = dict(map(tuple, components.components(edges).collect()))
