@@ -33,10 +33,16 @@ BLOCKS = frozenset(
     "section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea iframe object svg canvas xmp noembed noframes".split())
 FRAMES = frozenset("nav footer aside form head title menu dialog button select label fieldset search".split())
 MAIN = frozenset(("article", "main"))
 CLOSED_BY_BLOCK = "p"
+#: Elements that are removed like frames, but that a page's article may lie in.
+WRAPPERS = frozenset(("form", "fieldset"))
+#: Elements of a text; in an article their names tell what they are about, unless they are adverts.
+TEXTS = frozenset(
+    "a b blockquote caption code dd dt em figcaption figure h1 h2 h3 h4 h5 h6 i li p pre q span strong td th tr".split()
+)
 #: Names in class, id or role that mark the frame of a page.
 FRAME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary "
@@ -44,13 +50,27 @@ FRAME_NAMES = frozenset(
     "newsletter notice popup promo promoted recommended related search share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split()
 )
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising promo promoted sponsor sponsored".split())
+#: Of these, what lists other articles, and what answers to one.
+LISTINGS = ADVERTS | frozenset(("recommended", "related", "widget"))
+ANSWERS = frozenset(("comment", "comments", "disqus"))
+#: Of these, what the head of an article may be called.
+HEADS = frozenset(("banner", "header", "masthead"))
+#: A name that begins with one of these tells what its element has beside it, or has not.
+LAYOUT = frozenset("has hide is no show with without".split())
+
+#: How firm a frame is: an article or main in a soft one is the page's, in a
+#: listing it is that if the page has no other, and in a hard one it never is.
+NONE, SOFT, LISTING, HARD = range(4)
+#: An article in a listing, until the whole page is known.
+LISTED = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
     re.S,
 )
-_NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[^a-z]+")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
@@ -59,12 +79,14 @@ def page_lines(source: str | None) -> tuple[list[str], list[int]]:
     """The lines of a page and what each one is by the page's structure.
 
     A line is the text between two borders of block elements, with character
-    references decoded and white space turned into single blanks.
+    references decoded and white space turned into single blanks.  Elements are
+    frames by what they are, or by their names.  A name alone never removes an
+    article, a main element or the headline of an article; see ``_frame_of``.
     """
     lines: list[str] = []
     kinds: list[int] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in the frame, in an article
+    stack: list[tuple[str, int, int]] = []  # name, frame it is in, ARTICLE or LISTED if it is in one
     source = source or ""
 
     def flush() -> None:
@@ -72,9 +94,9 @@ def page_lines(source: str | None) -> tuple[list[str], list[int]]:
             line = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if line:
-                frame, article = stack[-1][1:] if stack else (False, False)
+                frame, article = stack[-1][1:] if stack else (NONE, OPEN)
                 lines.append(line)
-                kinds.append(FRAME if frame else ARTICLE if article else OPEN)
+                kinds.append(LISTED if frame == LISTING and article == LISTED else FRAME if frame else article)
 
     at = 0
     while at < len(source):
@@ -111,21 +133,54 @@ def page_lines(source: str | None) -> tuple[list[str], list[int]]:
             held.append(" ")
         if name in VOID:
             continue
-        frame, article = stack[-1][1:] if stack else (False, False)
+        frame, article = stack[-1][1:] if stack else (NONE, OPEN)
         main = name in MAIN
-        if not frame and name not in ("html", "body"):
-            frame = name in FRAMES or (name == "header" and not article)
-            if not frame and token.group(3):
-                marks = " ".join(a or b or c for a, b, c in _NAMES.findall(token.group(3))).lower()
-                named = FRAME_NAMES & set(_WORDS.split(marks)) if marks else None
-                # a container may be named after what it lacks or surrounds
-                frame = bool(named) and not (main and not named & {"comment", "comments"})
+        own = _frame_of(name, token.group(3), article) if frame != HARD else NONE
+        if main and not own and frame:
+            # of the page, or one of those that a listing has
+            frame, article = (NONE, ARTICLE) if frame == SOFT and not article else (LISTING, LISTED)
+        elif main and not own:
+            article = article or ARTICLE
+        elif article == LISTED and own:
+            frame = HARD
+        elif frame == SOFT and article and name == "h1":
+            frame = NONE
+        else:
+            frame = max(frame, own)
         if name in BLOCKS or frame:
             if frame:
                 flush()
-            stack.append((name, frame, article or main))
+            stack.append((name, frame, article))
     flush()
-    return lines, kinds
+    listed = FRAME if ARTICLE in kinds else ARTICLE
+    return lines, [listed if k == LISTED else k for k in kinds]
+
+
+def _frame_of(name: str, attributes: str, article: int) -> int:
+    """How firm a frame an element is by itself; ``article`` tells if it is in one."""
+    if name in ("html", "body"):
+        return NONE
+    if name in WRAPPERS:
+        return SOFT
+    if name in FRAMES or (name == "header" and not article):
+        return HARD
+    marks = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split() if attributes else ()
+    found: set[str] = set()
+    for mark in marks:
+        words = [w for w in _WORDS.split(mark) if w]
+        if not words or words[0] in LAYOUT:
+            continue
+        if name in MAIN:  # the name of a whole article tells what it has, but for one that is an answer
+            found |= ANSWERS & {words[-1]}
+        elif article and name in TEXTS:
+            found |= ADVERTS & {mark}
+        else:
+            found |= FRAME_NAMES & set(words)
+    if article:
+        found -= HEADS
+    if found & ANSWERS:
+        return HARD
+    return LISTING if found & LISTINGS else SOFT if found else NONE
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
