@@ -68,7 +68,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, bucket_rows: int = BU
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label).
 
     Links vectors of equal label with a cosine of at least ``cosine``, computed
-    in doubles for all pairs that the index finds.  Equal vectors are one class
+    in doubles of the components as they are given, for all pairs that the index
+    finds.  Equal vectors are one class
     that counts as often as it occurs.  In each of ``TABLES`` tables a vector
     lies in the bucket of its code and also visits the buckets with one hash at
     its second nearest axis; an owner of a bucket is compared with all in it.
@@ -81,7 +82,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, bucket_rows: int = BU
     lengths.  Repeated rows are vectors of their own; null ids take part and
     are kept only where no equal vector has an id.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label"))
+    given = vectors.schema["embedding"].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"  # floats are exact in doubles, and half as long
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), F.col("label"))
     sound = F.col("label").isNotNull() & F.col("embedding").isNotNull()
     for test in (
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
@@ -142,8 +145,9 @@ def _code_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for at in range(0, len(every), STEP):
                 part = every.iloc[at : at + STEP]
                 x = np.stack(part["embedding"]).astype(np.float64)
-                unit = x / np.linalg.norm(x / np.abs(x).max(axis=1)[:, None], axis=1)[:, None]
-                unit /= np.abs(x).max(axis=1)[:, None]
+                # powers of two change no digits; beyond the doubles' range neither squares nor quotients are
+                unit = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+                unit /= np.linalg.norm(unit, axis=1)[:, None]
                 codes = hasher(unit)
                 n, tables, probes = codes.shape
                 times = tables * probes
