@@ -92,7 +92,9 @@ def _steps(branches: DataFrame, node: list[str]) -> DataFrame:
     if groups is None:
         return branches.select(*node, "segment", F.lit("").alias("step"))
     sizes = groups.groupBy(*node, "lead").agg(F.count("*").alias("size"))
-    step = F.when(F.col("size") > 1, F.concat(F.lit("/{"), "lead", F.lit("}"))).otherwise(F.concat(F.lit("/"), "lead"))
+    # no path has a "#", so a segment that looks like a wildcard or a group is told from one
+    own = F.concat(F.when(F.col("lead").rlike(r"\A(\*\z|\{)"), "/#").otherwise("/"), "lead")
+    step = F.when(F.col("size") > 1, F.concat(F.lit("/{"), "lead", F.lit("}"))).otherwise(own)
     return groups.join(small_side(materialize(sizes, "sizes")), [*node, "lead"]).select(*node, "segment", step.alias("step"))
 
 
@@ -104,7 +106,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     each node, segments that are too rare to be branches become ``*``, and so do
     branches whose labelled pages are blocked about as often as their
     siblings'.  Branches of a node that are blocked about as often as one another
-    are one, ``{a}`` for the one of them with most labelled pages.  This goes on
+    are one, ``{a}`` for the one of them with most labelled pages; a segment that
+    is ``*`` or begins with ``{`` itself is written with ``#`` before it.  This goes on
     down to the end of the longest path, or to where no node has the labels to
     branch.  A template's purity is the allowed share of its labelled pages,
     smoothed by that of its host, and this by that of all pages; with no
@@ -184,7 +187,7 @@ def _rules_sql(of: str) -> str:
 
 
 #: ``judge_urls`` of ``pages`` with the default arguments, where no path is longer than ``DEPTH``, no branch
-#: smaller than ``BRANCH_SHARE`` and no two branches of a node are similar, as in the given tables up to sf0.1.
+#: smaller than ``BRANCH_SHARE``, no segment written like a wildcard and no two branches of a node are similar, as in the given tables up to sf0.1.
 URLS_SQL = rf"""
 WITH u AS (
   SELECT page_id,
