@@ -174,6 +174,34 @@ def test_unigram_path_is_the_shortest():
         assert model.shortest_path(text) == min(every(text))[1]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content with-sidebar"><article><p>Text</p></article></div>', "Text"),
+        ('<div class="sidebar-right"><div id="x"><article><p>Text</p></article></div><p>News</p></div>', "Text"),
+        ('<form id="page"><main><p>Text</p></main><input></form>', "Text"),
+        ('<article><div class="article-header"><h1>Head</h1></div><p>Text</p></article>', "Head\nText"),
+        ('<article><div class="toolbar"><h1>Head</h1>Print</div><p>Text</p></article>', "Head\nText"),
+        ('<article><p>A <a class="related" href="x">link</a> in</p><p class="share-price">Up</p></article>', "A link in\nUp"),
+        ('<article><p id="search-history">Past</p><p class="ad">Buy</p></article>', "Past"),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "So x=1 holds"),
+        ('<article class="post comments-open no-sidebar"><p>Text</p></article>', "Text"),
+        ('<article><p>Text</p><div class="related"><h3>More</h3><article>Card</article></div></article>', "Text"),
+        ('<div class="related"><article><p>Card</p></article></div><main><p>Text</p></main>', "Text"),
+        ('<div class="related"><article><p>Card</p><div class="share">Tell</div></article></div>', "Card"),
+        ('<article><p>Text</p></article><article class="reader-comment"><p>No</p></article>', "Text"),
+        ('<article><p>Text</p><div class="comments"><article><p>No</p></article></div><form>Send</form></article>', "Text"),
+        ('<article><p>Text</p><div class="share-buttons"><h4>Tell</h4></div><footer>End</footer></article>', "Text"),
+        ('<aside><article>Card</article></aside><nav>Menu</nav><article data-id="ad"><p>Text</p></article>', "Text"),
+        ('<header class="x"><h1>Site</h1></header><div class="cookie-notice">Yes</div><article>Text</article>', "Text"),
+    ],
+)
+def test_frame_names_leave_the_article(page, want):
+    lines, kinds = extraction.page_lines(f"<html><body>{page}</body></html>")
+    assert "\n".join(x for x, k in zip(lines, kinds, strict=True) if k == extraction.ARTICLE) == want
+    assert set(kinds) <= {extraction.ARTICLE, extraction.FRAME, extraction.OPEN}
+
+
 def test_common_lines():
     draw = random.Random(2)
     for _ in range(300):
@@ -252,6 +280,16 @@ def test_url_templates_reject_and_allow_what_no_rule_decides(spark):
         assert r.verdict == ("block" if wrong else "allow"), r
 
 
+def test_a_segment_written_like_a_wildcard_is_none(spark):
+    rules = (urls.Rule("block", "a.org", "/*/1"), urls.Rule("allow", "a.org", "/q/1"), urls.Rule("allow", "a.org", "/{*}/1"))
+    names = [f"http://a.org/*/1{i}" for i in range(60)] + ["http://a.org/*/2"]
+    names += [f"http://a.org/{s}/1{i}" for s in ("q", "{*}") for i in range(5)] + ["http://a.org/q/7"]
+    pages = spark.createDataFrame(list(enumerate(names)), "page_id long, url string")
+    got = {names[r.page_id]: (r.template, r.verdict) for r in urls.judge_urls(pages, rules).collect()}
+    assert got["http://a.org/*/2"] == ("/#*/*", "block")
+    assert got["http://a.org/q/7"] == ("/*/*", "allow")
+
+
 def test_licenses(spark, folder):
     def words(text):
         return re.findall(r"[^\W_]+", (text or "").lower())

@@ -136,6 +136,18 @@ def test_vector_edges(spark):
     assert vectors.near_vectors(table.limit(0)).collect() == []
 
 
+def test_vectors_of_doubles(spark):
+    tiny, angle = 5e-324, 0.93
+    rows = [
+        (1, [1e300, 0.0], 1), (2, [1e300, 0.0], 1), (3, [1.7e308, 1.7e308], 2), (4, [1e-300, 1e-300], 2), (5, [tiny, tiny], 2),
+        (6, [1.0, 0.0], 3), (7, [angle - 1e-12, (1 - (angle - 1e-12) ** 2) ** 0.5], 3),
+        (8, [angle + 1e-12, -((1 - (angle + 1e-12) ** 2) ** 0.5)], 3),
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(table).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (1, 6), 7: (0, 7), 8: (1, 6)}
+
+
 def test_page_edges(spark):
     page = "<html><body><nav><a>menu</a></nav><article><h1>Head</h1><p>One &amp;\n two<br>three</article></body></html>"
     rows = [
