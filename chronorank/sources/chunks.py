@@ -12,9 +12,12 @@ import lzma
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType,
@@ -45,6 +48,10 @@ SPARK_TO_WIRE = {
     "string": STRING, "binary": STRING, "struct": STRUCT, "map": MAP, "array": LIST,
 }
 BATCH_BYTES = 16 * 1024 * 1024
+#: Bytes from which a file is read as a stream instead of as one row.
+LARGE_FILE = 128 * 1024 * 1024
+#: Bytes that a stream reads at a time.
+READ_BYTES = 1024 * 1024
 
 
 def _take(stream: BinaryIO, size: int) -> bytes:
@@ -102,8 +109,7 @@ def read_record(stream: BinaryIO, kind: StructType | None) -> dict | None:
     return record if kind is not None else None
 
 
-def _open(path: str, content: bytes) -> BinaryIO:
-    raw = io.BytesIO(content)
+def _unpacked(path: str, raw: BinaryIO) -> BinaryIO:
     if path.endswith("xz"):
         return io.BufferedReader(lzma.LZMAFile(raw))
     if path.endswith(".gz"):
@@ -111,13 +117,22 @@ def _open(path: str, content: bytes) -> BinaryIO:
     return io.BufferedReader(raw)
 
 
-def decode(path: str, content: bytes, kind: StructType) -> Iterator[tuple[dict, int]]:
+def _stream(path: str) -> BinaryIO:
+    """The bytes of a file, read in steps; the path is one that Spark lists."""
+    if path.startswith("file:"):
+        system, at = pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, at = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@%"))
+    return io.BufferedReader(system.open_input_file(at), READ_BYTES)
+
+
+def decode(path: str, content: BinaryIO, kind: StructType) -> Iterator[tuple[dict, int]]:
     """Items of one file with their decoded size.
 
     The first unreadable item ends the file, because item borders are not marked;
     it is reported as a row of its own.
     """
-    stream = _open(path, content)
+    stream = _unpacked(path, content)
     index = 0
     try:
         while stream.peek(1):
@@ -130,14 +145,19 @@ def decode(path: str, content: bytes, kind: StructType) -> Iterator[tuple[dict,
 
 
 def read_stream_items(
-    spark: SparkSession, path: str, columns: StructType = STREAM_ITEM
+    spark: SparkSession, path: str, columns: StructType = STREAM_ITEM, large_file: int = LARGE_FILE
 ) -> DataFrame:
     """Stream items of all files below ``path``.
 
     ``columns`` is any subset of the item schema; the rest is skipped on the wire.
     Each row carries ``_path``, ``_index`` within the file, and ``_corrupt``,
-    which is null for good items.  Decoded rows leave in small batches, so a
-    worker holds one compressed file and one batch.
+    which is null for good items.
+
+    Files are packed into tasks by their sizes.  Those below ``large_file`` bytes
+    come as rows of Spark's reader.  Larger ones are opened by the task and read
+    as a stream, from any store that Arrow's file systems reach, so their size has
+    no limit.  Decoded rows leave in small batches: a worker holds one small file
+    or a stream's buffer, and one batch.
     """
     schema = StructType(
         [
@@ -149,26 +169,34 @@ def read_stream_items(
     )
     arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def items_of(name: str, content: BinaryIO) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        held = 0
+        for row, size in decode(name, content, columns):
+            rows.append({**row, "_path": name})
+            held += size
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column("path")[i].as_py()
-                rows: list[dict] = []
-                held = 0
-                for row, size in decode(name, batch.column("content")[i].as_py(), columns):
-                    rows.append({**row, "_path": name})
-                    held += size
-                    if held >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", "content")
-    )
-    return files.mapInArrow(run, schema)
+            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                yield from items_of(name.as_py(), io.BytesIO(content.as_py()))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with _stream(name) as content:
+                    yield from items_of(name, content)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    # both filters reach the reader, which opens no file that they exclude
+    small = files.where(F.col("length") < large_file).select("path", "content")
+    large = files.where(F.col("length") >= large_file).select("path")
+    return small.mapInArrow(held, schema).unionAll(large.mapInArrow(streamed, schema))
 
 
 def good_items(items: DataFrame) -> DataFrame:

@@ -73,6 +73,39 @@ def test_read_all_kinds(spark, chunks):
     assert sorted((r._path.rsplit("/", 1)[1], r._index) for r in corrupt) == [("bad.sc.xz", 0), ("cut.sc", 1)]
 
 
+@pytest.mark.parametrize("large_file", [0, 150, 1 << 40])
+def test_files_read_as_streams_give_the_same_rows(spark, chunks, large_file):
+    def found(size):
+        rows = C.read_stream_items(spark, chunks, large_file=size).select("_path", "_index", "stream_id", "body", "_corrupt")
+        return sorted(map(repr, rows.collect()))
+
+    assert found(large_file) == found(C.LARGE_FILE)
+
+
+def test_a_file_beyond_the_reader_limit_is_streamed_in_bounded_memory(spark, tmp_path):
+    """Spark's reader refuses files above the set length; a stream passes them, one batch at a time."""
+    text = "x" * 1_000_000
+    one = encode(item(0, body={"clean_visible": text}), STREAM_ITEM)
+    with open(tmp_path / "long name.sc", "wb") as file:
+        for _ in range(120):
+            file.write(one)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 50_000_000)
+    try:
+        rows = C.good_items(C.read_stream_items(spark, str(tmp_path), large_file=50_000_000))
+        got = rows.selectExpr("count(*)", "max(_index)", "sum(length(body.clean_visible))").first()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert tuple(got) == (120, 119, 120 * len(text))
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n}.sc").write_bytes(encode(item(n), STREAM_ITEM))
+    rows = C.read_stream_items(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 40
+    assert C.good_items(rows).select("stream_id").distinct().count() == 300
+
+
 def test_projected_read_skips_other_fields(spark, chunks):
     rows = C.good_items(C.read_stream_items(spark, chunks, ROUTABLE))
     assert "doc_id" not in rows.columns
