@@ -18,7 +18,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Stopwords: literals, or a column with an array of any number of terms.
+#: Stopwords: literals, or a column with an array of a few terms.  For long lists
+#: see ``sources.side_files.without_stopwords``.
 Stop = Sequence[str] | Column
 
 

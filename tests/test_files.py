@@ -153,6 +153,22 @@ def test_side_files(spark, tmp_path):
     assert SF.read_ids(spark, str(tmp_path / "ids.txt")).count() == 2
 
 
+def test_a_million_stopwords_leave_by_lookup_within_the_row(spark):
+    rows = [(1, "The end, of THE story x7!", 0), (2, None, 0), (3, "", 0), (4, "x8 X999999 kept x1000000 kept", 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, clean_visible string, _at int")
+    stop = spark.range(1_000_000).selectExpr("concat('x', id) AS term").union(
+        spark.createDataFrame([("the",), ("of",), ("",), (None,), ("the",)], "term string")
+    )
+    left = SF.without_stopwords(docs, stop)
+    assert left.columns == docs.columns
+    got = {r.doc_id: r.clean_visible for r in left.collect()}
+    assert got == {1: "end story", 2: None, 3: "", 4: "kept x1000000 kept"}
+    short = SF.without_stopwords(docs, stop.limit(0))
+    assert short.where("doc_id = 1").first().clean_visible == "the end of the story x7"
+    with pytest.raises(ValueError, match="vocabulary"):
+        SF.without_stopwords(docs, stop, max_bytes=1_000)
+
+
 def test_scored_files(spark, tmp_path):
     for query in (1, 7):
         (tmp_path / f"out.{query}").write_text(f'a"b\t{query}\t-1.5\n')
