@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 K, S = 5, 2
 #: Characters of a unit at most; longer words are several units.
 UNIT = 6
-#: Anchors that a fingerprint keeps: those with the smallest hashes.
-ANCHORS = 64
-#: Anchors count as in place up to this displacement from the usual one, in units,
-#: besides an eighth of the longer text.
-NEAR = 16
+#: Hashes of anchors are numbers below this.
+HASHES = 1 << 32
+#: A fingerprint keeps all anchors with hashes below a fixed bound, one of 32, so it
+#: grows with the text, and at least so many of the smallest.
+BELOW, ANCHORS = HASHES // 32, 64
+#: Anchors count as in place up to this displacement from the usual one, in units.
+NEAR = 64
 #: Documents of a range of neighbouring ids, about, and ranges at most.
 RANGE_ROWS, RANGES = 1_000, 4_096
 
@@ -28,7 +30,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """The ``ANCHORS`` smallest of the text's closed syncmers: (h, at) by hash, of equal ones the first.
+    """Closed syncmers of the text below ``BELOW``, and at least the ``ANCHORS`` smallest: (h, at) by hash, of equal ones the first.
 
     Units are runs of non-blank characters, cut after ``UNIT``.  A run of ``K``
     units is kept if the least of the hashes of its runs of ``S`` units is its
@@ -38,6 +40,9 @@ def anchors(text: Column) -> Column:
     units = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\S{1,%d}" % UNIT), F.lit(0))
     inner = K - S + 1
 
+    def digest(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 32)
+
     def of_units(u: Column) -> Column:
         pairs = F.transform(u, lambda x, i: F.xxhash64(x, *[F.get(u, i + j) for j in range(1, S)]))
         return _let(pairs, lambda p: _let(F.size(u), lambda n: of_pairs(p, n)))
@@ -49,17 +54,19 @@ def anchors(text: Column) -> Column:
             edge = (first <= F.least(*others)) | (others[-1] <= F.least(first, *others[:-1]))
             # every other inner run covers the units of the whole one
             whole = F.xxhash64(first, *others[S - 1 :: S], others[-1])
-            return F.when((i <= n - K) & edge, F.struct(whole.alias("h"), i.cast("int").alias("at")))
+            return F.when((i <= n - K) & edge, F.struct(digest(whole).alias("h"), i.cast("int").alias("at")))
 
         kept = F.filter(F.transform(p, pick), lambda x: x.isNotNull())
-        short = F.array(F.struct(F.xxhash64(F.concat_ws(" ", F.transform(p, lambda x: x.cast("string")))).alias("h"), F.lit(0).alias("at")))
+        run = F.xxhash64(F.concat_ws(" ", F.transform(p, lambda x: x.cast("string"))))
+        short = F.array(F.struct(digest(run).alias("h"), F.lit(0).alias("at")))
         none = F.array().cast(ANCHOR_TYPE)
         return F.when(n >= K, _let(kept, smallest)).when(n > 0, short).otherwise(none).cast(ANCHOR_TYPE)
 
     def smallest(kept: Column) -> Column:
         # numbers sort faster than structs: only those up to the last hash that stays are sorted with their places
-        hashes = F.slice(F.sort_array(F.array_distinct(F.transform(kept, lambda x: x["h"]))), 1, ANCHORS)
-        few = _let(F.array_max(hashes), lambda last: F.sort_array(F.filter(kept, lambda x: x["h"] <= last)))
+        hashes = F.sort_array(F.array_distinct(F.transform(kept, lambda x: x["h"])))
+        last = F.greatest(F.coalesce(F.get(hashes, F.lit(ANCHORS - 1)), F.lit(HASHES)), F.lit(BELOW))
+        few = _let(last, lambda last: F.sort_array(F.filter(kept, lambda x: x["h"] <= last)))
         return _let(few, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["h"] != x["h"])))
 
     return _let(units, of_units)
@@ -67,41 +74,38 @@ def anchors(text: Column) -> Column:
 
 def fingerprint(found: Column) -> Column:
     """Anchors as text: 8 hexadecimal digits of the hash, a dot and the place, by hash."""
-    return F.array_join(
-        F.transform(found, lambda a: F.concat(F.substring(F.lpad(F.hex(a["h"]), 16, "0"), 1, 8), F.lit("."), a["at"])),
-        " ",
-    )
+    return F.array_join(F.transform(found, lambda a: F.concat(F.lpad(F.hex(a["h"]), 8, "0"), F.lit("."), a["at"])), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of anchors that two texts have in common at matching places, from 0 to 1.
 
-    Of the smallest hashes of both together, those in both are looked up in
-    each; an anchor matches if its displacement is near the median one.  The
+    Compares the anchors up to the hash to which both fingerprints are complete.
+    An anchor of both matches if its displacement is near the median one.  The
     share of the union is turned into that of the mean size (Dice).  Two texts
     without anchors are alike.
     """
 
+    def complete(x: Column) -> Column:
+        # with fewer than ANCHORS, all are there
+        return F.when(F.size(x) < ANCHORS, F.lit(HASHES)).otherwise(F.greatest(F.element_at(x, -1)["h"], F.lit(BELOW)))
+
     def compare(x: Column, y: Column) -> Column:
-        hx, hy = F.transform(x, lambda v: v["h"]), F.transform(y, lambda v: v["h"])
-        both = F.slice(F.sort_array(F.array_union(hx, hy)), 1, ANCHORS)
-        return _let(both, lambda u: _let(hx, lambda p: _let(hy, lambda q: shared(x, y, u, p, q))))
+        sides = [F.transform(z, lambda v, s=s: F.struct(v["h"].alias("h"), F.lit(s).alias("s"), v["at"].alias("at"))) for s, z in enumerate((x, y))]
+        every = _let(F.least(complete(x), complete(y)), lambda last: F.filter(F.concat(*sides), lambda v: v["h"] <= last))
+        return _let(F.sort_array(every), shared)
 
-    def shared(x: Column, y: Column, u: Column, p: Column, q: Column) -> Column:
-        common = F.array_intersect(F.array_intersect(p, q), u)
+    def shared(both: Column) -> Column:
+        # a hash of both texts stands twice in a row
         moves = F.transform(
-            common,
-            lambda h: F.get(x, F.array_position(p, h).cast("int") - 1)["at"]
-            - F.get(y, F.array_position(q, h).cast("int") - 1)["at"],
+            both, lambda v, i: F.when(F.get(both, i + 1)["h"] == v["h"], v["at"] - F.get(both, i + 1)["at"])
         )
-        longest = F.greatest(F.array_max(F.transform(x, lambda v: v["at"])), F.array_max(F.transform(y, lambda v: v["at"])))
-
-        def placed(m: Column) -> Column:
-            usual = F.get(m, F.floor(F.size(m) / 2).cast("int"))
-            return F.size(F.filter(m, lambda d: F.abs(d - usual) <= NEAR + longest / 8))
+        return _let(F.sort_array(F.filter(moves, lambda d: d.isNotNull())), lambda m: of_moves(m, F.size(both) - F.size(m)))
 
-        share = _let(F.sort_array(moves), placed) / F.size(u)
-        return F.when(F.size(u) == 0, 1.0).when(F.size(common) == 0, 0.0).otherwise(2 * share / (1 + share))
+    def of_moves(m: Column, union: Column) -> Column:
+        usual = F.get(m, F.floor(F.size(m) / 2).cast("int"))
+        share = _let(usual, lambda u: F.size(F.filter(m, lambda d: F.abs(d - u) <= NEAR))) / union
+        return F.when(union == 0, 1.0).when(F.size(m) == 0, 0.0).otherwise(2 * share / (1 + share))
 
     return _let(a, lambda x: _let(b, lambda y: compare(x, y)))
 
