@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import struct
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from chronorank.llm import components, extraction, licenses, near_dup, pieces, quality, queries, toxicity, urls, vectors
+from chronorank.llm import components, extraction, fingerprints, licenses, near_dup, pieces, quality, queries, toxicity, urls, vectors
 from chronorank.llm.common import shingle_set
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -128,6 +130,60 @@ def test_fingerprints(spark, folder):
     assert all(len(prints) == 1 for prints in equal.values())
 
 
+def plain_anchors(text):
+    """Closed syncmers by the definition, run by run."""
+
+    def hashed(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    units = re.findall(r"[^ \t\n\x0b\f\r]{1,6}", (text or "").lower())
+    pairs = [hashed(*units[i : i + 2]) for i in range(len(units))]
+    if len(units) < 5:
+        found = {hashed(" ".join(map(str, pairs))) % (1 << 64) >> 32: 0} if units else {}
+    else:
+        found = {}
+        for i in range(len(units) - 4):
+            inner = pairs[i : i + 4]
+            if min(inner) in (inner[0], inner[-1]):
+                found.setdefault(hashed(inner[0], inner[2], inner[3]) % (1 << 64) >> 32, i)
+    hashes = sorted(found)
+    kept = [h for n, h in enumerate(hashes) if n < 64 or h <= 1 << 27]
+    return [(h, found[h]) for h in kept]
+
+
+def plain_likeness(a, b):
+    last = min(max(x[-1][0], 1 << 27) if len(x) >= 64 else 1 << 32 for x in (a, b))
+    a, b = ({h: at for h, at in x if h <= last} for x in (a, b))
+    moves = sorted(a[h] - b[h] for h in a.keys() & b.keys())
+    if not a and not b:
+        return 1.0
+    near = sum(abs(m - moves[len(moves) // 2]) <= 64 for m in moves)
+    share = near / len(a.keys() | b.keys())
+    return 2 * share / (1 + share)
+
+
+def test_fingerprints_by_brute_force(spark):
+    draw = random.Random(8)
+    words = ["a", "Wort", "été", "😀", "longer-than-a-unit", "x1", "THE"] + [f"w{n}" for n in range(4_000)]
+    texts = [" ".join(draw.choice(words) for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 6, 40, 300, 2_000, 12_000, 60_000)]
+    texts += [texts[-2][:30_000] + texts[-2][36_000:], texts[-2] + " ".join(f"n{n}" for n in range(500)), "same " * 500, " \t\n", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = table.withColumn("a", fingerprints.anchors(F.col("text")))
+    got = {r.doc_id: [tuple(v) for v in r.a] for r in rows.select("doc_id", "a").collect()}
+    want = [plain_anchors(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(want[11]) > 10 * fingerprints.ANCHORS and len(want[9]) == fingerprints.ANCHORS
+    other = rows.select(F.col("doc_id").alias("o"), F.col("a").alias("b"))
+    pairs = rows.select("doc_id", "a").join(other, F.abs(F.col("doc_id") - F.col("o")) <= 3)
+    for r in pairs.select("doc_id", "o", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        assert r.near == pytest.approx(plain_likeness(want[r.doc_id], want[r.o])), (r.doc_id, r.o)
+    # 500 new words behind 12,000 show
+    assert 0.9 < plain_likeness(want[10], want[13]) < 1
+
+
 def test_ranges_of_next_documents(spark):
     from chronorank.llm.fingerprints import with_next
 
@@ -290,28 +346,61 @@ def test_a_segment_written_like_a_wildcard_is_none(spark):
     assert got["http://a.org/q/7"] == ("/*/*", "allow")
 
 
-def test_licenses(spark, folder):
-    def words(text):
-        return re.findall(r"[^\W_]+", (text or "").lower())
+def license_runs(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return [tuple(words[i : i + licenses.K]) for i in range(max(1, len(words) - licenses.K + 1))] if words else []
 
+
+def test_licenses(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    got = {r.doc_id: {m.license for m in r.licenses} for r in licenses.scan_licenses(docs).collect()}
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
     for doc_id, text in texts.items():
-        own = words(text)
-        runs = {tuple(own[i : i + licenses.K]) for i in range(max(1, len(own) - licenses.K + 1))}
+        runs = license_runs(text)
+        exact = 0
         for name, notices in licenses.NOTICES.items():
-            for notice in notices:
-                plain = words(notice)
-                if f" {' '.join(plain)} " in f" {' '.join(own)} ":
-                    assert name in got[doc_id]
-            most = max(
-                len({tuple(w[i : i + licenses.K]) for i in range(len(w) - licenses.K + 1)} & runs)
-                / len({tuple(w[i : i + licenses.K]) for i in range(len(w) - licenses.K + 1)})
-                for w in map(words, notices)
-            )
-            if name in got[doc_id]:
-                assert most >= licenses.CONTAINMENT
+            for plain in map(license_runs, notices):
+                starts = [i for i in range(len(runs)) if runs[i : i + len(plain)] == plain]
+                exact += len(starts)
+                spans = {(m.first, m.end) for m in got[doc_id] if m.license == name and m.containment == 1}
+                assert spans >= {(i, i + len(plain) + licenses.K - 1) for i in starts}
+        assert sum(m.containment == 1 for m in got[doc_id]) >= exact
+        for m in got[doc_id]:
+            inside = set(runs[m.first : m.end - licenses.K + 1])
+            shares = [len(set(p) & inside) / len(set(p)) for p in map(license_runs, licenses.NOTICES[m.license])]
+            assert any(s == pytest.approx(m.containment) for s in shares) and m.containment >= licenses.CONTAINMENT
+        spans = sorted((m.first, m.end) for m in got[doc_id])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_every_notice_of_a_text_and_related_licences():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    for name, notices in licenses.NOTICES.items():
+        for notice in notices:
+            size = len(licenses.license_words(notice))
+            # alone, next to itself, and far apart
+            for gap in ("", "some other words here ", "filler text " * 700):
+                text = f"before it {notice} {gap}{notice} after it"
+                skip = 2 + size + len(gap.split())
+                assert scanner.scan(text) == [(name, 1.0, 2, 2 + size), (name, 1.0, skip, skip + size)], (name, gap)
+
+
+def test_notices_with_changed_words_are_found_at_the_threshold():
+    scanner = licenses.Scanner(licenses.NOTICES)
+    draw = random.Random(4)
+    for name, notices in licenses.NOTICES.items():
+        for notice in notices:
+            words = licenses.license_words(notice)
+            if len(words) < 30:
+                continue
+            for _ in range(20):
+                own = [w.decode() for w in words]
+                own[draw.randrange(licenses.K, len(own) - licenses.K)] = "changed"
+                plain, changed = license_runs(notice), license_runs(" ".join(own))
+                share = len(set(plain) & set(changed)) / len(set(plain))
+                if share >= licenses.CONTAINMENT:
+                    found = scanner.scan("a b c " + " ".join(own) + " x y z")
+                    assert len(found) == 1 and found[0][1] >= share
 
 
 def test_kneser_ney_sums_to_one(spark):
