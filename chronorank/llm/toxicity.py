@@ -18,8 +18,6 @@ from chronorank.shared import materialize
 
 #: Labelled documents the model is fitted on, at most; by order of a hash of the id.
 FIT_ROWS = 50_000
-#: Entries of the lexicon, at most; the most significant ones are taken.
-LEXICON = 50_000
 #: Beginnings of words, from the least to the most specific, that pass their odds on.
 STEMS = (3, 4, 5, 6)
 #: Weight of the prior, in documents.
@@ -57,13 +55,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * nats + self.intercept, -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, lexicon: int = LEXICON) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), of ``fit_rows`` labelled documents.
 
     A token's log-odds come from the shares of toxic and other documents with
     it, under a Dirichlet prior centred on the odds of its stem, that one's on
     the next shorter stem, the shortest on all tokens.  So an unseen form takes
-    the odds of its stem.  Null labels are left out; of several labels of an id
+    the odds of its stem.  The lexicon has all entries that tell something; only
+    the ``fit_rows`` bound it.  Null labels are left out; of several labels of an id
     the largest counts.  Without labels of both kinds no text is toxic.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -80,7 +79,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, l
     kinds = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not kinds.get(0) or not kinds.get(1):
         return ToxicityModel(intercept=-20.0)
-    entries, rate = _odds(sample, lexicon)
+    entries, rate = _odds(sample)
     model = ToxicityModel({r["token"]: r["odds"] - COST for r in entries})
     model.scale = _scale(entries, kinds[0])
     best = _best_segments(sample.select("toxic", "text"), model, "toxic int").toPandas()
@@ -88,7 +87,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, l
     return model
 
 
-def _odds(sample: DataFrame, lexicon: int):
+def _odds(sample: DataFrame):
     """Entries (token, odds, others) of the lexicon, and the share of toxic among all tokens."""
     words = materialize(
         sample.mapInPandas(_count_words, "token string, toxic long, others long")
@@ -131,9 +130,10 @@ def _odds(sample: DataFrame, lexicon: int):
     every = levels[0]
     for level in levels[1:]:
         every = every.union(level)
-    # besides toxic entries, innocent forms of toxic stems
+    # besides toxic entries, innocent forms of toxic stems: at most the words of the bounded sample
     kept = every.where(f"(odds >= {LEAST_ODDS} and z >= {LEAST_Z}) or (odds < {LEAST_ODDS} and above >= {LEAST_ODDS})")
-    return kept.orderBy(F.abs("z").desc(), "token").limit(lexicon).collect(), rate
+    # only what the model and its scale are made of comes to the driver, in an order that reruns keep
+    return kept.select("token", "odds", "others").orderBy("token").collect(), rate
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
