@@ -44,3 +44,31 @@ def test_mix_keeps_rows_without_ids_apart_and_single_long_documents(spark):
     assert 1 <= sum(r.doc_id is None for r in mixed) <= 2
     assert 1 <= sum(r.doc_id == 1 for r in mixed) <= 2
     assert corpus_pipeline.mixing(spark, docs.limit(0), "").collect() == []
+
+
+def test_stages_on_nulls_blanks_repeats_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, " \t\n"), (7, "one")]
+    rows += [(6, " ".join(f"word{n % 9_000}" for n in range(100_000))), (None, "no id here at all"), (None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = spark.createDataFrame([(i, t, None if i == 3 else "en", "s" if i != 5 else None, 0) for i, t in rows], kind)
+    labels = [(1, 1, 0), (2, 1, 0), (6, 1, 0), (7, 0, 1), (7, 0, 1), (None, 1, 1), (4, None, None), (99, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    crowded = plain.selectExpr("*", "1 AS ids", "2 AS size", "3 AS taken", "4 AS n", "5 AS component", "6 AS score", "7 AS decoded")
+    ends = []
+    for docs in (plain, crowded):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+            left = {r.doc_id for r in docs.select("doc_id").collect()}
+            if name in ("quality_classifier", "toxicity"):
+                assert left >= {1, 2, 3, 4, 5, 6, None}
+            elif name == "minhash_near_dedup":
+                # one of the copies stays; null and blank texts are no copies of one another
+                assert left >= {1, 3, 4, 5, 6, None} and 2 not in left
+            elif name == "source_mixing":
+                assert {1, 6} <= left and not left & {3, 4, 5}
+        ends.append(sorted((repr(r) for r in docs.collect())))
+        assert docs.where("not round_trip").count() == 0
+    assert ends[0] == ends[1]
+    empty = plain.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
