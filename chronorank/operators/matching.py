@@ -13,6 +13,7 @@ pairs of a topic and a gain.  It is built from term rows that were counted small
 and goes to all tasks; an expression looks a row's tokens up, sums gains and gives
 the best topics, so that neither documents, tokens nor pairs are shuffled, and
 a document has k topics at most.  More topics than that are taken in blocks.
+``all_topics`` lists every pair, in steps of a bounded number of tokens and pairs.
 
 Summing postings needs an array that is added to in place.  Built-in functions
 have none: joining tokens with topics shuffles a row for each document and topic.
@@ -20,7 +21,7 @@ have none: joining tokens with topics shuffles a row for each document and topic
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 from chronorank.functions import text as T
 from chronorank.functions.likelihood import MU
@@ -38,6 +40,8 @@ from chronorank.shared import MAX_BROADCAST_ROWS
 
 #: Sums of a document and a topic that a task holds at a time.
 CELLS = 1 << 20
+#: Tokens that a task looks up at a time, but for a text that has more.
+TOKENS = 1 << 20
 #: A term in more than this share of the topics has its gains as a row of a matrix.
 COMMON = 0.125
 
@@ -109,6 +113,36 @@ def _term_counts(tokens: pa.ListArray, index: TopicIndex) -> tuple[np.ndarray, n
     return pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms)), tf
 
 
+def _steps(tokens: pa.ListArray, size: int) -> Iterator[pa.ListArray]:
+    """Slices of some rows of tokens, within ``TOKENS`` and ``CELLS``; a row at least."""
+    ends = tokens.offsets.to_numpy()
+    most = max(1, CELLS // max(1, size))
+    at = 0
+    while at < len(tokens):
+        end = int(np.searchsorted(ends, ends[at] + TOKENS, "right")) - 1
+        end = min(max(end, at + 1), at + most, len(tokens))
+        yield tokens.slice(at, end - at)
+        at = end
+
+
+def _rare_sums(
+    index: TopicIndex, doc: np.ndarray, term: np.ndarray, value: np.ndarray, x: np.ndarray
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Scores of all topics without common terms, and values of these terms, one column each; null if there are none."""
+    n, size = len(x), len(index.ids)
+    common = index.row[term] >= 0
+    start, count = index.heads[term[~common]], np.diff(index.heads)[term[~common]]
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+    cell = np.repeat(doc[~common], count) * size + index.topic[at]
+    sums = np.bincount(cell, np.repeat(value[~common], count) * index.gain[at], n * size).reshape(n, size)
+    sums = sums + index.level + x[:, None] * index.slope
+    if not common.any():
+        return sums, None
+    given = np.zeros((n, len(index.matrix)))
+    given[doc[common], index.row[term[common]]] = value[common]
+    return sums, given
+
+
 def _best(
     index: TopicIndex, doc: np.ndarray, term: np.ndarray, value: np.ndarray, x: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +153,8 @@ def _best(
     lengths; so they are summed only where that reaches the k-th best topic.
     """
     n, size = len(x), len(index.ids)
-    common = index.row[term] >= 0
-    start, count = index.heads[term[~common]], np.diff(index.heads)[term[~common]]
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
-    cell = np.repeat(doc[~common], count) * size + index.topic[at]
-    sums = np.bincount(cell, np.repeat(value[~common], count) * index.gain[at], n * size).reshape(n, size)
-    sums = sums + index.level + x[:, None] * index.slope
-    if common.any():
-        given = np.zeros((n, len(index.matrix)))
-        given[doc[common], index.row[term[common]]] = value[common]
+    sums, given = _rare_sums(index, doc, term, value, x)
+    if given is not None:
         lengths = np.linalg.norm(given, axis=1)[:, None] * np.linalg.norm(index.matrix, axis=0)
         reach = np.minimum((given @ index.matrix.max(axis=1))[:, None], lengths)
         least = np.partition(sums, size - k, axis=1)[:, size - k]
@@ -158,17 +185,13 @@ ENTRIES = "array<struct<query_id: int, score: double>>"
 def _matcher(index: TopicIndex, k: int, mu: float) -> Callable[[Column], Column]:
     """Expression of a token array: its ``k`` best topics of ``index``, best first."""
     size = len(index.ids)
-    step = max(1, CELLS // max(1, size))
 
     def match(tokens: pa.Array) -> pa.Array:
-        length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-        doc, term, tf = _term_counts(tokens, index)
-        value = index.value(tf, term)
         query_id, score = [], []
-        for at in range(0, len(tokens) if size else 0, step):
-            own = slice(*np.searchsorted(doc, [at, at + step]))
-            x = index.x(length[at : at + step], mu)
-            topic, sums = _best(index, doc[own] - at, term[own], value[own], x, min(k, size))
+        for part in _steps(tokens, size) if size else ():
+            doc, term, tf = _term_counts(part, index)
+            x = index.x(np.diff(part.offsets.to_numpy()).astype(np.int64), mu)
+            topic, sums = _best(index, doc, term, index.value(tf, term), x, min(k, size))
             query_id.append(index.ids[topic])
             score.append(sums)
         entries = pa.StructArray.from_arrays(
@@ -180,6 +203,26 @@ def _matcher(index: TopicIndex, k: int, mu: float) -> Callable[[Column], Column]
     return F.arrow_udf(match, ENTRIES)
 
 
+def _indexes(
+    topics: Topics, stats: CollectionStats, measure: str, background: str, mu: float, max_rows: int
+) -> list[TopicIndex]:
+    """Indexes that hold all topics together, each up to about ``max_rows`` term rows."""
+    terms = with_background(topics.terms, stats, topics.small, background).select("term", "query_id", "w", "cp")
+    blocks = 1
+    if not topics.small:
+        # blocks of about half the size, as topics are dealt by hash
+        blocks = max(1, -(-2 * topics.terms.count() // max_rows))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = []
+    for number in range(blocks):
+        rows, ids = (
+            [tuple(row) for row in (df.where(block == number) if blocks > 1 else df).collect()]
+            for df in (terms, topics.ids.select("query_id", "qlen"))
+        )
+        found.append(build_index(rows, ids, measure == "kl", mu))
+    return found
+
+
 def topic_matcher(
     topics: Topics,
     stats: CollectionStats,
@@ -201,20 +244,8 @@ def topic_matcher(
     dealt to blocks with an index each, and the best of all blocks are ranked
     again within the row.
     """
-    terms = with_background(topics.terms, stats, topics.small, background).select("term", "query_id", "w", "cp")
-    blocks = 1
-    if not topics.small:
-        # blocks of about half the size, as topics are dealt by hash
-        blocks = max(1, -(-2 * topics.terms.count() // max_rows))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    matchers = []
-    for number in range(blocks):
-        rows, ids = (
-            [tuple(row) for row in (df.where(block == number) if blocks > 1 else df).collect()]
-            for df in (terms, topics.ids.select("query_id", "qlen"))
-        )
-        matchers.append(_matcher(build_index(rows, ids, measure == "kl", mu), k, mu))
-    if blocks == 1:
+    matchers = [_matcher(index, k, mu) for index in _indexes(topics, stats, measure, background, mu, max_rows)]
+    if len(matchers) == 1:
         return matchers[0]
 
     def match(tokens: Column) -> Column:
@@ -253,3 +284,61 @@ def best_topics(
     found = tokens.select(key, F.size("_tokens").cast("long").alias("length"), match(F.col("_tokens")).alias("_best"))
     rows = found.select(key, "length", F.posexplode("_best").alias("_at", "_topic"))
     return rows.select(key, "_topic.query_id", (F.col("_at") + 1).cast("long").alias("rank"), "length", "_topic.score")
+
+
+def all_topics(
+    docs: DataFrame,
+    topics: Topics,
+    stats: CollectionStats,
+    measure: str = "kl",
+    key: str = "doc_id",
+    text: str = "clean_visible",
+    keep: Sequence[str] = (),
+    stop: T.Stop = (),
+    background: str = "default_one",
+    mu: float = MU,
+    max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """``(key, *keep, query_id, rank, length, score)`` of every row of ``docs`` and every topic (``topic_matcher``).
+
+    Pairs are made and handed on in steps, so that a task holds a bounded number
+    of them, whatever documents and topics there are.  No shuffle.
+    """
+    indexes = _indexes(topics, stats, measure, background, mu, max_rows)
+    ids = np.concatenate([index.ids for index in indexes])
+    by_id = np.argsort(ids)
+    size = len(ids)
+    ids = ids[by_id]
+    given = docs.select(key, *keep, tokens_of(text, stop).alias("_tokens"))
+    held = [key, *keep]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            tokens = batch.column("_tokens")
+            for part in _steps(tokens, size) if size else ():
+                length = np.diff(part.offsets.to_numpy()).astype(np.int64)
+                sums = []
+                for index in indexes:
+                    doc, term, tf = _term_counts(part, index)
+                    own, common = _rare_sums(index, doc, term, index.value(tf, term), index.x(length, mu))
+                    sums.append(own if common is None else own + common @ index.matrix)
+                score = np.concatenate(sums, axis=1)[:, by_id]
+                order = np.argsort(-np.round(score, TIE_DIGITS), axis=1, kind="stable")
+                rows = pa.array(np.repeat(np.arange(at, at + len(part)), size))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(name).take(rows) for name in held),
+                        pa.array(ids[order].ravel()),
+                        pa.array(np.tile(np.arange(1, size + 1), len(part))),
+                        pa.array(np.repeat(length, size)),
+                        pa.array(np.take_along_axis(score, order, axis=1).ravel()),
+                    ],
+                    [*held, "query_id", "rank", "length", "score"],
+                )
+                at += len(part)
+
+    schema = docs.select(*held).schema
+    for name, kind in (("query_id", IntegerType()), ("rank", LongType()), ("length", LongType()), ("score", DoubleType())):
+        schema = schema.add(name, kind)
+    return given.mapInArrow(pairs, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronorank.functions import ids as I
 from chronorank.functions import likelihood as L
 from chronorank.functions import text as T
-from chronorank.operators.matching import best_topics
+from chronorank.operators.matching import all_topics, best_topics
 from chronorank.operators.ranking import TIE_DIGITS
 from chronorank.operators.stats import CollectionStats
 from chronorank.operators.topics import Topics
@@ -60,19 +60,21 @@ def route_scores(
     docs: DataFrame,
     topics: Topics,
     stats: CollectionStats,
-    k: int,
     key: str = "doc_id",
     text: str = "clean_visible",
     mu: float = L.MU,
     head_terms: int = 10_000,
 ) -> DataFrame:
-    """Full routing scores of the ``k`` best topics of every document.
+    """Full routing scores of every document and topic.
 
-    A document's constant is computed once and joins its ``k`` rows.
+    A document's constant is computed once and joins its text; pairs are made
+    after that and never move.  Constants are narrow, so they are hashed and the
+    texts need no sort.
     """
-    best = best_topics(docs, topics, stats, k, "route", key, text, mu=mu)
     constants = doc_constants(docs, stats, key, text, mu, head_terms)
-    return best.join(constants, key).select(
+    texts = docs.select(key, text).join(constants.hint("shuffle_hash"), key)
+    pairs = all_topics(texts, topics, stats, "route", key, text, keep=["doc_constant"], mu=mu)
+    return pairs.select(
         key,
         "query_id",
         "rank",

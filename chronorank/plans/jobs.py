@@ -27,7 +27,6 @@ SCAN_LOW, SCAN_HIGH = 20, 50
 SMALL_LIMIT = 4096
 SHALLOW_DEPTH = 5
 DUMP_QUERY = 1
-BEST_TOPICS = 10
 
 Job = Callable[[Corpus], DataFrame]
 JOBS: dict[str, Job] = {}
@@ -191,8 +190,8 @@ def collection_total(c: Corpus) -> DataFrame:
 
 @job
 def kl_scores(c: Corpus) -> DataFrame:
-    """The best topics of every document by query likelihood."""
-    return rounded(MT.best_topics(c.documents(), c.topics(), c.stats(), BEST_TOPICS))
+    """Every document and topic by query likelihood."""
+    return rounded(MT.all_topics(c.documents(), c.topics(), c.stats()))
 
 
 def _routed_scores(c: Corpus, measure: str) -> DataFrame:
@@ -233,8 +232,8 @@ def rank_docs(c: Corpus) -> DataFrame:
 
 @job
 def route_scores(c: Corpus) -> DataFrame:
-    """The best topics of every document by routing score."""
-    return rounded(R.route_scores(c.documents(), c.topics(), c.stats(), BEST_TOPICS), 3)
+    """Every document and topic by routing score."""
+    return rounded(R.route_scores(c.documents(), c.topics(), c.stats()), 3)
 
 
 def _with_stream_ids(c: Corpus, routed: DataFrame) -> DataFrame:

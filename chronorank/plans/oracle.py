@@ -297,10 +297,10 @@ BODIES: dict[str, str] = {
     "row_count": "SELECT 'all' AS key, count(*) AS n FROM docs JOIN captures USING (doc_id)",
     "collection_stats": "SELECT term, cf AS weight FROM vocab",
     "collection_total": "SELECT total FROM total",
-    "kl_scores": f"""
+    "kl_scores": """
         SELECT doc_id, query_id, length, round(score, 6) AS score,
                CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, query_id) AS BIGINT) AS rank
-        FROM kl_pairs QUALIFY rank <= {jobs.BEST_TOPICS}""",
+        FROM kl_pairs""",
     "kl_scores_routed": "SELECT query_id, stream_id, length, round(score, 6) AS score FROM kl_plain",
     "cer_scores": f"""
         SELECT s.query_id, s.stream_id, l.length,
@@ -321,10 +321,10 @@ BODIES: dict[str, str] = {
         SELECT query_id, stream_id, round(score, 6) AS score,
                CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stream_id) AS BIGINT) AS rank
         FROM kl_plain""",
-    "route_scores": f"""
+    "route_scores": """
         SELECT doc_id, query_id, length, round(doc_constant, 3) AS doc_constant, round(score, 3) AS score,
                CAST(row_number() OVER (PARTITION BY doc_id ORDER BY margin DESC, query_id) AS BIGINT) AS rank
-        FROM route_pairs JOIN margins USING (doc_id, query_id) QUALIFY rank <= {jobs.BEST_TOPICS}""",
+        FROM route_pairs JOIN margins USING (doc_id, query_id)""",
     "route": "SELECT stream_id, query_id, round(margin, 6) AS margin FROM routed JOIN captures USING (doc_id)",
     "route_add_one": """
         SELECT stream_id, query_id, round(margin, 6) AS margin FROM add_one JOIN captures USING (doc_id)""",
