@@ -94,7 +94,16 @@ class Loader:
         both = materialize(routed.withColumn("accepted", F.col("reason").isNull()), "routed-items", ("accepted",))
         if rejected:
             both.where(~F.col("accepted")).select(*REJECTED).write.mode(mode).parquet(rejected)
-        accepted = both.where("accepted").drop("accepted", "reason")
+        self.place(both.where("accepted").drop("accepted", "reason"), path, mode, finish)
+
+    def place(
+        self,
+        accepted: DataFrame,
+        path: str,
+        mode: str = "errorifexists",
+        finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    ) -> None:
+        """Move a written table of accepted items, with ``n_bytes``, to the files below ``path``."""
         placement = plan_slots(accepted.select("query_id", "date_bin", "n_bytes"), self.file_bytes)
         write_items(accepted.drop("n_bytes"), path, mode, placement, finish)
 

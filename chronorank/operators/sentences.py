@@ -20,7 +20,9 @@ TOP_SENTENCES = 20
 def sentences(items: DataFrame, tagger: str = TAGGER, keep: Sequence[str] = ("stream_id",)) -> DataFrame:
     """``(*keep, sent_num, sentence)`` of one tagger's sentence list."""
     texts = T.sentence_texts(F.col("body.sentences")[tagger])
-    return items.select(*keep, F.posexplode(texts).alias("sent_num", "sentence"))
+    rows = items.select(*keep, texts.alias("_texts"))
+    exploded = rows.select(*keep, *T.numbered("_texts", "sent_num", "sentence"))
+    return exploded.filter(F.col("sent_num").isNotNull())
 
 
 def update_ids(rows: DataFrame) -> DataFrame:
@@ -31,9 +33,10 @@ def _scored(rows: DataFrame, keep: Sequence[str], tagger: str, top: int) -> Data
     """Scores of the sentences, the document and its beginning, as one row per item.
 
     ``rows`` carries the item and its ``model``.  Everything happens within the
-    row: sentences are exploded only afterwards.
+    row: sentences are exploded only afterwards, and an item without any gives a
+    null position then.  A filter here would cut the text a second time.
     """
-    texts = rows.filter(F.size(F.col("body.sentences")[tagger]) > 0).select(
+    texts = rows.select(
         *keep, "model", T.sentence_texts(F.col("body.sentences")[tagger]).alias("_texts")
     )
     tokens = texts.select(

@@ -68,12 +68,12 @@ def scan_items(c: Corpus) -> DataFrame:
 
 @job
 def scan_bins_(c: Corpus) -> DataFrame:
-    return scan_bins(c.stored(), SCAN_QUERY, SCAN_LOW, SCAN_HIGH).select(*STORED)
+    return scan_bins(c.placed(), SCAN_QUERY, SCAN_LOW, SCAN_HIGH).select(*STORED)
 
 
 @job
 def scan_query_(c: Corpus) -> DataFrame:
-    return scan_query(c.stored(), SCAN_QUERY).select(*STORED)
+    return scan_query(c.placed(), SCAN_QUERY).select(*STORED)
 
 
 @job
@@ -82,7 +82,7 @@ def lookup_items_(c: Corpus) -> DataFrame:
     topics = c.topics()
     keys = FB.feedback_docs(FB.first_pass(c.stored(), topics, c.stats(), STOP))
     few = FB.few_rows(topics, FB.FEEDBACK_DOCS)
-    return lookup_items(c.stored(), keys, few).select(*STORED, "clean_visible")
+    return lookup_items(c.placed(), keys, few).select(*STORED, "clean_visible")
 
 
 @job

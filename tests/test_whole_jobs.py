@@ -1,5 +1,7 @@
 """Jobs over every pair, and the tables that queries share."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,7 +10,8 @@ import __spark_entry__ as entry
 from chronorank.operators import matching as MT
 from chronorank.operators import stats as ST
 from chronorank.operators.topics import Topics, topic_vectors
-from chronorank.plans.corpus import Corpus
+from chronorank.plans.corpus import Corpus, forget
+from chronorank.shared import shared_dir
 
 
 def test_pairs_of_all_documents_and_topics(spark):
@@ -49,3 +52,31 @@ def test_scores_hold_every_document_and_topic(spark, folder, name):
     rows = entry.queries()[name](spark, folder)
     pairs = corpus.table("documents").count() * corpus.table("benchmark").count()
     assert rows.count() == pairs == rows.select("doc_id", "query_id").distinct().count()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_readers_of_all_stored_rows_need_one_write_of_the_texts(spark, folder):
+    """Texts are neither sorted nor moved to places, and no sentences are written."""
+    forget()
+    own = Path(shared_dir(spark)) / "chronorank" / spark.sparkContext.applicationId
+    before = set(own.glob("*")) if own.exists() else set()
+    corpus = Corpus(spark, folder)
+    stored = corpus.stored()
+    new = sorted(p.name.rpartition("-")[0] for p in set(own.glob("*")) - before)
+    assert new == ["collection-stats", "date-bins", "routed-items"]
+    assert "body" not in corpus.routed_table().columns and "body" in stored.columns
+    names = ["query_id", "date_bin", "rowkey", "stream_id", "epoch_ms", "source", "clean_visible"]
+    assert stored.select(names).exceptAll(corpus.placed().select(names)).isEmpty()
+    assert stored.count() == corpus.placed().count()
+    _, physical = plan(corpus.captured(corpus.documents()))
+    assert "ShuffledHashJoin" in physical and "Sort " not in physical
+
+
+def test_sentences_are_cut_once(spark, folder):
+    corpus = Corpus(spark, folder)
+    for df in (corpus.sentences(), corpus.sentence_scores()):
+        logical, _ = plan(df)
+        assert logical.count("[^.!?") == 1
