@@ -5,8 +5,8 @@
 ``nuggets``  judged facts: nuggetid, query, score, epoch
 ``pooled``   sentences shown to the judges: updateid
 
-All means are partial aggregates; the joins are equi-joins whose strategy the
-optimizer picks from the sizes it measures.
+All means are partial aggregates.  Scored sentences meet judgments in hash joins
+with the narrow side hashed, so that they are never sorted.
 """
 
 from __future__ import annotations
@@ -37,13 +37,12 @@ def add_update_id(out: DataFrame) -> DataFrame:
 
 def match_scores(out: DataFrame, matches: DataFrame) -> DataFrame:
     """Scores of judged sentences."""
-    return add_update_id(out).join(matches, "updateid")
+    return add_update_id(out).join(matches.hint("shuffle_hash"), "updateid")
 
 
 def _judged(out: DataFrame, matches: DataFrame, nuggets: DataFrame) -> DataFrame:
-    return match_scores(out, matches.select("updateid", "nuggetid")).join(
-        nuggets.select("nuggetid", "score"), "nuggetid"
-    )
+    facts = matches.select("updateid", "nuggetid").join(nuggets.select("nuggetid", "score"), "nuggetid")
+    return match_scores(out, facts.select("updateid", "score"))
 
 
 def doc_vs_nugget(
@@ -95,13 +94,13 @@ def doc_score_by_time(out: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def nonmatch_all(out: DataFrame, matches: DataFrame) -> DataFrame:
     """Scored sentences that no judgment matches."""
-    return add_update_id(out).join(matches.select("updateid"), "updateid", "left_anti")
+    return add_update_id(out).join(matches.select("updateid").hint("shuffle_hash"), "updateid", "left_anti")
 
 
 def nonmatch_pooled(out: DataFrame, matches: DataFrame, pooled: DataFrame) -> DataFrame:
     """Pooled sentences that no judgment matches."""
-    shown = add_update_id(out).join(pooled.select("updateid"), "updateid", "left_semi")
-    return shown.join(matches.select("updateid"), "updateid", "left_anti")
+    shown = add_update_id(out).join(pooled.select("updateid").hint("shuffle_hash"), "updateid", "left_semi")
+    return shown.join(matches.select("updateid").hint("shuffle_hash"), "updateid", "left_anti")
 
 
 def nugget_epochs(out: DataFrame, matches: DataFrame, nuggets: DataFrame) -> DataFrame:
@@ -127,7 +126,8 @@ def match_vs_nonmatch(
         F.sum((F.coalesce("score", F.lit(-1)) >= 0).cast("long")).alias("n_matches")
     )
     shown = pooled.select("updateid").distinct().withColumn("pooled", F.lit(True))
-    rows = add_update_id(out).join(judged, "updateid", "left").join(shown, "updateid", "left")
+    rows = add_update_id(out).join(judged.hint("shuffle_hash"), "updateid", "left")
+    rows = rows.join(shown.hint("shuffle_hash"), "updateid", "left")
     none = F.col("n_matches").isNull()
     weights = {
         "matches": F.coalesce("n_matches", F.lit(0)),

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from chronorank.operators import analysis as A
 from chronorank.operators import matching as MT
 from chronorank.operators import stats as ST
 from chronorank.operators.topics import Topics, topic_vectors
@@ -80,3 +81,18 @@ def test_sentences_are_cut_once(spark, folder):
     for df in (corpus.sentences(), corpus.sentence_scores()):
         logical, _ = plan(df)
         assert logical.count("[^.!?") == 1
+
+
+def test_scored_sentences_meet_judgments_without_a_sort(spark, folder):
+    corpus = Corpus(spark, folder)
+    assert "sentence" not in corpus.pooled().columns
+    out, matches, pooled, nuggets = corpus.out(), corpus.matches(), corpus.pooled(), corpus.nuggets()
+    for df in (
+        A.match_scores(out, matches),
+        A.sentence_position_nugget(out, matches, nuggets),
+        A.nonmatch_all(out, matches),
+        A.nonmatch_pooled(out, matches, pooled),
+        A.match_vs_nonmatch(out, matches, pooled, nuggets),
+    ):
+        _, physical = plan(df)
+        assert "SortMergeJoin" not in physical
