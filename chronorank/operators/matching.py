@@ -39,9 +39,9 @@ from chronorank.operators.topics import Topics, with_background
 from chronorank.shared import MAX_BROADCAST_ROWS
 
 #: Sums of a document and a topic that a task holds at a time.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Tokens that a task looks up at a time, but for a text that has more.
-TOKENS = 1 << 20
+TOKENS = 1 << 18
 #: A term in more than this share of the topics has its gains as a row of a matrix.
 COMMON = 0.125
 
