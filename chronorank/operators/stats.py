@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronorank.functions import text as T
+from chronorank.shared import fits
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,14 @@ def word_count(docs: DataFrame, text: str = "clean_visible") -> DataFrame:
 
 
 def word_count_of(docs: DataFrame, ids: DataFrame, text: str = "clean_visible") -> DataFrame:
-    """Word count over the documents whose ``stream_id`` is listed in ``ids``."""
-    return word_count(docs.join(ids.select("stream_id"), "stream_id", "left_semi"), text)
+    """Word count over the documents whose ``stream_id`` is listed in ``ids``.
+
+    Texts stay where they are if the list was counted small; else they meet its
+    hashed ids, and no text is sorted.
+    """
+    ids = ids.select("stream_id")
+    listed = F.broadcast(ids) if fits(ids) else ids.hint("shuffle_hash")
+    return word_count(docs.select("stream_id", text).join(listed, "stream_id", "left_semi"), text)
 
 
 def row_count(items: DataFrame) -> DataFrame:

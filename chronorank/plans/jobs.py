@@ -166,8 +166,7 @@ def word_count_stored(c: Corpus) -> DataFrame:
 @job
 def word_count_ids(c: Corpus) -> DataFrame:
     """Words of the labelled documents."""
-    ids = c.table("labels").select("doc_id").join(c.captures(), "doc_id").select("stream_id")
-    return ST.word_count_of(c.stored(), ids)
+    return ST.word_count_of(c.stored(), c.listed_ids())
 
 
 @job
