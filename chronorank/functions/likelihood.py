@@ -11,21 +11,28 @@ A query model is one struct per query:
 ``top_mass`` largest mass
 
 With it, scoring a text against its own query is a projection: the part without
-matches is a closed form of the text's length, and only the terms that do occur
-are looked at one by one.  No term rows, no shuffle.
+matches is a closed form of the text's length, and what the terms that do occur
+add is summed by an Arrow expression that passes over the tokens once.  Built-in
+functions would pass over them once more for every term.  No term rows, no shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronorank.functions.text import let
-
 # Smoothing mass, and the term frequency of the practical bound.
 MU = 2500.0
 PRACTICAL_TF = 10.0
 
+#: Tokens that a task looks up at a time, but for a text that has more.
+TOKENS = 1 << 18
+
 
 def model_struct(mu: float = MU) -> Column:
     """Aggregate of a query's rows ``(term, w, cp)`` into its model."""
@@ -54,30 +61,115 @@ def _or_zero(score: Column) -> Column:
     return F.coalesce(score, F.lit(0.0))
 
 
-def _smoothed(tokens: Column, model: Column, found: Column, mu: float) -> Column:
-    size = F.size(tokens)
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _steps(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of some rows with ``sizes`` tokens, within ``TOKENS``; a row at least."""
+    ends = np.r_[0, np.cumsum(sizes)]
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, "right")) - 1)
+        yield at, end
+        at = end
+
 
-    def gain(acc: Column, term: Column) -> Column:
-        tf = size - F.size(F.array_remove(tokens, term))
-        return let(
-            F.element_at(model["weights"], term), lambda e: acc + e["w"] * F.log1p(tf / e["mass"])
+def _term_gains(
+    tokens: pa.Array, terms: pa.Array, w: pa.Array, mass: pa.Array
+) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Sums of gains by unit, for the tokens of some rows with a model each.
+
+    The function takes the unit of each token, or -1, and the row of each unit.
+    """
+    given = terms.flatten()
+    names = given.unique()
+    size = max(1, len(names))
+    entry = np.repeat(np.arange(len(terms)), _lengths(terms)) * size + pc.index_in(given, value_set=names).to_numpy()
+    order = np.argsort(entry)
+    entry, weight, share = (values[order] for values in (entry, w.flatten().to_numpy(), mass.flatten().to_numpy()))
+    found = pc.fill_null(pc.index_in(tokens, value_set=names), -1).to_numpy().astype(np.int64)
+
+    def by_unit(unit: np.ndarray, row_of: np.ndarray) -> np.ndarray:
+        if not len(entry):
+            return np.zeros(len(row_of))
+        cells, tf = np.unique((unit * size + found)[(found >= 0) & (unit >= 0)], return_counts=True)
+        of = cells // size
+        key = row_of[of] * size + cells % size
+        at = np.minimum(np.searchsorted(entry, key), len(entry) - 1)
+        own = entry[at] == key
+        at, of, tf = at[own], of[own], tf[own]
+        return np.bincount(of, weight[at] * np.log1p(tf / share[at]), len(row_of)).astype(float)
+
+    return by_unit
+
+
+def _text_gains(tokens: pa.Array, terms: pa.Array, w: pa.Array, mass: pa.Array) -> pa.Array:
+    """What its own model's terms add to the score of each token list."""
+    sizes, sums = _lengths(tokens), [np.zeros(0)]
+    for start, end in _steps(sizes):
+        part = slice(start, end)
+        row = np.repeat(np.arange(end - start), sizes[part])
+        gains = _term_gains(tokens[part].flatten(), terms[part], w[part], mass[part])
+        sums.append(gains(row, np.arange(end - start)))
+    return pa.array(np.concatenate(sums))
+
+
+def _sentence_gains(top: int) -> Callable[..., pa.Array]:
+    """The same for all sentences of a text together, for its first ``top``, and for each."""
+
+    def gains_of(sentences: pa.Array, terms: pa.Array, w: pa.Array, mass: pa.Array) -> pa.Array:
+        counts = _lengths(sentences)
+        lists = sentences.flatten()
+        sizes = _lengths(lists)
+        first = np.r_[0, np.cumsum(counts)]
+        ends = np.r_[0, np.cumsum(sizes)]
+        whole, start_of, each = [np.zeros(0)], [np.zeros(0)], [np.zeros(0)]
+        for start, end in _steps(ends[first[1:]] - ends[first[:-1]]):
+            part, inner = slice(start, end), slice(first[start], first[end])
+            n = int(first[end] - first[start])
+            row_of = np.repeat(np.arange(end - start), counts[part])
+            sentence = np.repeat(np.arange(n), sizes[inner])
+            row = row_of[sentence]
+            gains = _term_gains(lists[inner].flatten(), terms[part], w[part], mass[part])
+            early = np.arange(n) - (first[part] - first[start])[row_of] < top
+            rows = np.arange(end - start)
+            whole.append(gains(row, rows))
+            start_of.append(gains(np.where(early[sentence], row, -1), rows))
+            each.append(gains(sentence, row_of))
+        offsets = pa.array(first.astype(np.int32))
+        return pa.StructArray.from_arrays(
+            [
+                pa.array(np.concatenate(whole)),
+                pa.array(np.concatenate(start_of)),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(each))),
+            ],
+            ["text", "top", "sentences"],
         )
 
-    score = model["at_0"] - model["w_sum"] * F.log(size + mu) + F.aggregate(found, F.lit(0.0), gain)
-    return _or_zero(score)
+    return gains_of
 
 
-def hits(tokens: Column, terms: Column) -> Column:
-    """Distinct tokens among ``terms``."""
-    return F.array_intersect(tokens, terms)
+def sentence_gains(sentences: Column, model: Column, top: int) -> Column:
+    """What matches add to the scores of a text, of its first ``top`` sentences and of each, from lists of tokens."""
+    kind = "struct<text: double, top: double, sentences: array<double>>"
+    return F.arrow_udf(_sentence_gains(top), kind)(sentences, *_entries(model))
 
 
-def kl(tokens: Column, model: Column, terms: Column | None = None, mu: float = MU) -> Column:
-    """Weighted log likelihood of the model's terms under the smoothed text.
+def _entries(model: Column) -> tuple[Column, Column, Column]:
+    values = F.map_values(model["weights"])
+    return model["terms"], values["w"], values["mass"]
 
-    ``terms`` may narrow the search to terms known to be the only ones present.
-    """
-    return _smoothed(tokens, model, hits(tokens, model["terms"] if terms is None else terms), mu)
+
+def smoothed(size: Column, model: Column, gain: Column, mu: float = MU) -> Column:
+    """Score of a text of ``size`` tokens to which its matches add ``gain``."""
+    return _or_zero(model["at_0"] - model["w_sum"] * F.log(size + mu) + gain)
+
+
+def kl(tokens: Column, model: Column, mu: float = MU) -> Column:
+    """Weighted log likelihood of the model's terms under the smoothed text."""
+    gain = F.arrow_udf(_text_gains, "double")(tokens, *_entries(model))
+    return smoothed(F.size(tokens), model, gain, mu)
 
 
 def cer(tokens: Column, model: Column, mu: float = MU) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronorank.functions import ids as I
@@ -42,24 +42,34 @@ def _scored(rows: DataFrame, keep: Sequence[str], tagger: str, top: int) -> Data
     tokens = texts.select(
         *keep, "model", "_texts", F.transform("_texts", lambda s: T.words(s)).alias("_sent_tokens")
     )
-    pooled = tokens.select(
+    matched = tokens.select(
+        *keep,
+        "model",
+        "_texts",
+        F.transform("_sent_tokens", F.size).alias("_sizes"),
+        L.sentence_gains(F.col("_sent_tokens"), F.col("model"), top).alias("_gains"),
+    )
+    sized = matched.select(
         "*",
-        F.flatten("_sent_tokens").alias("_doc_tokens"),
-        F.flatten(F.slice("_sent_tokens", 1, top)).alias("_top_tokens"),
+        _total(F.col("_sizes")).alias("_size"),
+        _total(F.slice("_sizes", 1, top)).alias("_top_size"),
     )
-    matched = pooled.select("*", L.hits(F.col("_doc_tokens"), F.col("model.terms")).alias("_found"))
-    model, found = F.col("model"), F.col("_found")
-    return matched.select(
+    model, gains = F.col("model"), F.col("_gains")
+    return sized.select(
         *keep,
         "_texts",
         "model",
-        F.size("_doc_tokens").cast("long").alias("doc_len"),
-        F.transform("_sent_tokens", lambda s: L.kl(s, model, found)).alias("_sent_scores"),
-        L.kl(F.col("_doc_tokens"), model, found).alias("doc_score"),
-        L.kl(F.col("_top_tokens"), model, found).alias("top_score"),
+        F.col("_size").cast("long").alias("doc_len"),
+        F.zip_with("_sizes", gains["sentences"], lambda size, gain: L.smoothed(size, model, gain)).alias("_sent_scores"),
+        L.smoothed(F.col("_size"), model, gains["text"]).alias("doc_score"),
+        L.smoothed(F.col("_top_size"), model, gains["top"]).alias("top_score"),
     )
 
 
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda total, size: total + size)
+
+
 def sentence_scores(
     stored: DataFrame, models: DataFrame, small: bool, tagger: str = TAGGER, top: int = TOP_SENTENCES
 ) -> DataFrame:
