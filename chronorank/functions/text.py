@@ -73,10 +73,8 @@ def sentence_texts(sentences: Column) -> Column:
     Sentences without a token list are left out.
     """
     usable = F.filter(sentences, lambda s: s["tokens"].isNotNull())
-    return F.transform(
-        usable,
-        lambda s: F.array_join(F.transform(s["tokens"], lambda t: F.concat(t["token"], F.lit(" "))), ""),
-    )
+    # an empty last token leaves the blank after the last one, and nothing if there is none
+    return F.transform(usable, lambda s: F.array_join(F.array_append(s["tokens"]["token"], F.lit("")), " "))
 
 
 def numbered(array: str, position: str, value: str) -> list[Column]:
