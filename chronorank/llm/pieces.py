@@ -24,7 +24,7 @@ UNIGRAM, BPE = 1, 2
 #: Mark of a text that longer pieces start with.
 STARTS = 2
 #: Remembered paths of parts of a text, and joints of pieces, in a task.
-MEMORY, JOINTS = 80_000, 250_000
+MEMORY, JOINTS = 80_000, 500_000
 #: Bytes of texts that a task encodes at a time.
 STEP = 2 << 20
 #: Parts up to this length are looked up as a whole.
@@ -74,6 +74,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | float | bytes]]:
             at += 8
 
 
+class Remembered(dict):
+    """Ids of the parts that came last, written when they are first asked for; as many older ones are kept beside it."""
+
+    def __init__(self, pieces: PieceTransducer) -> None:
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, part: str) -> bytes:
+        pieces = self.pieces
+        out = pieces.older.get(part)
+        if out is None:
+            out = pieces._write(part)
+        if len(part) < 2 * WORD:
+            if len(self) >= MEMORY:
+                pieces.older = dict(self)
+                self.clear()
+            self[part] = out
+        return out
+
+
 class PieceTransducer:
     """Normaliser, pieces and byte fallback of a model, compiled once and composed with each text.
 
@@ -126,8 +146,8 @@ class PieceTransducer:
         for byte, i in self.bytes.items():
             raw[i] = bytes([byte])
         self.raw = pa.array(raw, pa.large_binary())
-        self.memory: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.memory = Remembered(self)
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         if not text:
@@ -239,29 +259,18 @@ class PieceTransducer:
             into.append(found)
         return self._back(into)
 
-    def _write(self, part: str) -> array:
-        """Ids of a part, remembered; of a long one's pieces between characters that no piece joins, likewise."""
-        out = self.older.get(part)
-        if out is None:
-            size, pairs = len(part), self.pairs
-            cuts = [i for i in range(1, size) if part[i - 1 : i + 1] not in pairs] if size > WORD else []
-            if cuts:
-                out = array("i")
-                for start, end in zip([0, *cuts], [*cuts, size], strict=True):
-                    found = self.memory.get(part[start:end])
-                    out.extend(self._write(part[start:end]) if found is None else found)
-            else:
-                out = self._path_ids(part)
-        if len(part) < 2 * WORD:
-            if len(self.memory) >= MEMORY:
-                self.older, self.memory = self.memory, {}
-            self.memory[part] = out
-        return out
+    def _write(self, part: str) -> bytes:
+        """Ids of a part; of a long one's pieces between characters that no piece joins, likewise."""
+        size, pairs = len(part), self.pairs
+        cuts = [i for i in range(1, size) if part[i - 1 : i + 1] not in pairs] if size > WORD else []
+        if not cuts:
+            return self._path_ids(part)
+        return b"".join([self.memory[part[start:end]] for start, end in zip([0, *cuts], [*cuts, size], strict=True)])
 
-    def _path_ids(self, part: str) -> array:
+    def _path_ids(self, part: str) -> bytes:
         path = self.shortest_path(part)
         try:
-            return array("i", map(self.ids.__getitem__, path))
+            return array("i", map(self.ids.__getitem__, path)).tobytes()
         except KeyError:
             pass
         out = array("i")
@@ -273,19 +282,14 @@ class PieceTransducer:
                 out.extend(self.bytes[b] for b in piece.encode())
             else:
                 out.append(self.unknown)
-        return out
+        return out.tobytes()
+
+    def id_bytes(self, text: str | None) -> bytes:
+        """Ids of a text, as the bytes of 32-bit numbers."""
+        return b"".join(map(self.memory.__getitem__, self.parts.findall(self.normalise(text or ""))))
 
     def encode(self, text: str | None) -> array:
-        parts = self.parts.findall(self.normalise(text or ""))
-        known = list(map(self.memory.get, parts))
-        if None in known:
-            write, memory = self._write, self.memory
-            for at, found in enumerate(known):
-                if found is None:
-                    part = parts[at]
-                    known[at] = memory.get(part) or write(part)
-                    memory = self.memory
-        return array("i", b"".join(known))
+        return array("i", self.id_bytes(text))
 
     def decode(self, ids: pa.ListArray) -> list[str]:
         """Texts of lists of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing.
@@ -321,11 +325,10 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids", de
         pieces = compiled(model)
         for batch in released(batches):
             for rows in _steps(batch, text):
-                flat, ends = array("i"), array("i", [0])
-                for value in rows.column(text):
-                    flat.extend(pieces.encode(value.as_py()))
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(memoryview(ends)), pa.array(memoryview(flat), pa.int32()))
+                found = list(map(pieces.id_bytes, rows.column(text).to_pylist()))
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                flat = np.frombuffer(b"".join(found), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
                 rows = _with(rows, out, ids)
                 yield _with(rows, decoded, pa.array(pieces.decode(ids), pa.string())) if decoded else rows
 

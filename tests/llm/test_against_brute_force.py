@@ -448,3 +448,19 @@ def test_segments():
     found = toxicity.segments(hits)
     assert max(s for *_, s in found) == pytest.approx(best[0])
     assert (0, 3, pytest.approx(3.5)) in found and (30, 31, 1.0) in found and (41, 42, 4.0) in found
+
+
+def test_remembered_parts_are_bounded_and_change_no_ids(monkeypatch):
+    with open(MODEL, "rb") as file:
+        model = file.read()
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("aeinrst ,.éß日▁\n") for _ in range(80)) for _ in range(60)]
+    want = [list(pieces.PieceTransducer(model).encode(text)) for text in texts]
+    monkeypatch.setattr(pieces, "MEMORY", 7)
+    monkeypatch.setattr(pieces, "JOINTS", 11)
+    own = pieces.PieceTransducer(model)
+    for text, ids in zip(texts, want, strict=True):
+        assert list(own.encode(text)) == ids
+        assert len(own.memory) <= 7 and len(own.older) <= 7
+    # plain bytes hold less than arrays, and are joined as they are
+    assert all(type(ids) is bytes for ids in [*own.memory.values(), *own.older.values()])
