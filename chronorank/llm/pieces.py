@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -21,14 +20,14 @@ BLANK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Mark of a text that longer pieces start with.
-STARTS = 2
 #: Remembered paths of parts of a text, and joints of pieces, in a task.
 MEMORY, JOINTS = 80_000, 500_000
-#: Bytes of texts that a task encodes at a time.
+#: Bytes of texts that a task encodes at a time, and characters of a longer text.
 STEP = 2 << 20
-#: Parts up to this length are looked up as a whole.
-WORD = 32
+#: Parts below this length are remembered.
+WORD = 64
+#: Most kinds of characters that the table of neighbours tells apart; kinds that share a number share their neighbours.
+CHARACTERS = 2_048
 #: Largest model file that is sent to the tasks.
 MODEL_BYTES = 32 << 20
 
@@ -85,8 +84,8 @@ class Remembered(dict):
         pieces = self.pieces
         out = pieces.older.get(part)
         if out is None:
-            out = pieces._write(part)
-        if len(part) < 2 * WORD:
+            out = pieces._path_ids(part)
+        if len(part) < WORD:
             if len(self) >= MEMORY:
                 pieces.older = dict(self)
                 self.clear()
@@ -130,15 +129,24 @@ class PieceTransducer:
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
         self.longest = max(map(len, self.ids), default=1)
-        # what reads on: whether it is a piece, and whether a longer one starts with it
-        self.arcs = dict.fromkeys((t[:n] for t in self.ids for n in range(1, len(t))), STARTS)
+        # by the next character: the piece that ends with it, if any, and what reads on
+        self.arcs: dict[str, list] = {}
         for piece in self.ids:
-            self.arcs[piece] = self.arcs.get(piece, 0) + 1
-        # no piece goes on over a blank that isn't at its start, or over a line end: paths of such parts are independent
-        apart = not any(BLANK in t.lstrip(BLANK) or "\n" in t for t in self.ids)
-        self.parts = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n") if apart else re.compile("(?s).+")
-        # nor do pieces join two characters that none of them has side by side
-        self.pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+            arcs = self.arcs
+            for c in piece[:-1]:
+                arc = arcs.setdefault(c, ["", None])
+                if arc[1] is None:
+                    arc[1] = {}
+                arcs = arc[1]
+            arcs.setdefault(piece[-1], ["", None])[0] = piece
+        # no piece joins two characters that none has side by side: paths of the parts between them are independent
+        pairs = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        joined = sorted({c for pair in pairs for c in pair})
+        self.characters = np.zeros(0x110000, np.uint16)
+        self.characters[[ord(c) for c in joined]] = np.arange(len(joined)) % (CHARACTERS - 1) + 1
+        self.neighbours = np.zeros((CHARACTERS, CHARACTERS), bool)
+        for left, right in pairs:
+            self.neighbours[self.characters[ord(left)], self.characters[ord(right)]] = True
         self.shorter: dict[str, str] = {}
         self.joints: dict[str, dict[str, bool]] = {}
         self.n_joints = 0
@@ -190,19 +198,23 @@ class PieceTransducer:
         merges of the text before it.  So a place that nothing goes on from is
         left for good, and every place is tried once.
         """
-        arcs, joints, joint, shorter, size = self.arcs, self.joints, self._joint, self.shorter, len(text)
+        arcs, joints, joint, shorter = self.arcs, self.joints, self._joint, self.shorter
+        longest, size = self.longest, len(text)
         path: list[str] = []
         left_for_good: set[int] = set()
         at, last, known = 0, "", joints.get("")
         while at < size:
             # the longest piece that reads on from here
-            end, piece = at + 1, text[at]
-            kind = arcs.get(piece, 0)
-            while kind >= STARTS and end < size:
-                end += 1
-                kind = arcs.get(text[at:end], 0)
-                if kind & 1:
-                    piece = text[at:end]
+            piece, reads = text[at], arcs
+            for c in text[at : at + longest]:
+                arc = reads.get(c)
+                if arc is None:
+                    break
+                found, reads = arc
+                if found:
+                    piece = found
+                if reads is None:
+                    break
             while True:
                 if not left_for_good or at + len(piece) not in left_for_good:
                     apart = known.get(piece) if known else None
@@ -259,14 +271,6 @@ class PieceTransducer:
             into.append(found)
         return self._back(into)
 
-    def _write(self, part: str) -> bytes:
-        """Ids of a part; of a long one's pieces between characters that no piece joins, likewise."""
-        size, pairs = len(part), self.pairs
-        cuts = [i for i in range(1, size) if part[i - 1 : i + 1] not in pairs] if size > WORD else []
-        if not cuts:
-            return self._path_ids(part)
-        return b"".join([self.memory[part[start:end]] for start, end in zip([0, *cuts], [*cuts, size], strict=True)])
-
     def _path_ids(self, part: str) -> bytes:
         path = self.shortest_path(part)
         try:
@@ -284,12 +288,58 @@ class PieceTransducer:
                 out.append(self.unknown)
         return out.tobytes()
 
-    def id_bytes(self, text: str | None) -> bytes:
-        """Ids of a text, as the bytes of 32-bit numbers."""
-        return b"".join(map(self.memory.__getitem__, self.parts.findall(self.normalise(text or ""))))
+    def _starts(self, text: str) -> np.ndarray:
+        """Whether a part of ``text`` starts at each of its characters."""
+        found = self.characters[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int32)
+        starts = np.ones(len(text), bool)
+        np.logical_not(self.neighbours.ravel()[found[:-1] * CHARACTERS + found[1:]], out=starts[1:])
+        return starts
+
+    def _part_ids(self, text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and how many of them each of its parts has; equal parts are looked up once."""
+        data = text.encode()
+        places = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
+        ends = pa.py_buffer(np.r_[places, len(data)].astype(np.int32))
+        parts = pa.StringArray.from_buffers(len(places), ends, pa.py_buffer(data)).dictionary_encode()
+        ids = list(map(self.memory.__getitem__, parts.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return lists.take(parts.indices).flatten().to_numpy(), sizes[parts.indices.to_numpy()]
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of texts.
+
+        What is long is read in steps that end where a part starts.
+        """
+        texts = [self.normalise(text or "") for text in texts]
+        ends = np.cumsum([0, *map(len, texts)])
+        whole = "".join(texts)
+        flat, sizes, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        at, step = 0, STEP
+        while at < len(whole):
+            text = whole[at : at + step]
+            starts = self._starts(text)
+            first, last = np.searchsorted(ends, [at, at + len(text)])
+            starts[ends[first:last] - at] = True
+            if at + len(text) < len(whole):
+                cut = len(text) - 1 - int(starts[::-1].argmax())
+                if not cut:
+                    # one part is longer than the step
+                    step *= 2
+                    continue
+                text, starts = text[:cut], starts[:cut]
+            ids, size = self._part_ids(text, starts)
+            flat.append(ids)
+            sizes.append(size)
+            places.append(np.flatnonzero(starts) + at)
+            at, step = at + len(text), STEP
+        counts = np.r_[0, np.cumsum(np.concatenate(sizes))]
+        ends = counts[np.searchsorted(np.concatenate(places), ends)].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat)))
 
     def encode(self, text: str | None) -> array:
-        return array("i", self.id_bytes(text))
+        return array("i", self.encode_all([text]).flatten().to_numpy().tobytes())
 
     def decode(self, ids: pa.ListArray) -> list[str]:
         """Texts of lists of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing.
@@ -325,10 +375,7 @@ def encode(df: DataFrame, model: bytes, text: str = "text", out: str = "ids", de
         pieces = compiled(model)
         for batch in released(batches):
             for rows in _steps(batch, text):
-                found = list(map(pieces.id_bytes, rows.column(text).to_pylist()))
-                ends = np.cumsum([0, *map(len, found)]) // 4
-                flat = np.frombuffer(b"".join(found), np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
+                ids = pieces.encode_all(rows.column(text).to_pylist())
                 rows = _with(rows, out, ids)
                 yield _with(rows, decoded, pa.array(pieces.decode(ids), pa.string())) if decoded else rows
 

@@ -464,3 +464,34 @@ def test_remembered_parts_are_bounded_and_change_no_ids(monkeypatch):
         assert len(own.memory) <= 7 and len(own.older) <= 7
     # plain bytes hold less than arrays, and are joined as they are
     assert all(type(ids) is bytes for ids in [*own.memory.values(), *own.older.values()])
+
+
+def test_parts_end_where_no_piece_joins_two_characters(monkeypatch):
+    with open(MODEL, "rb") as file:
+        model = file.read()
+    own = pieces.PieceTransducer(model)
+    asked, path = [], own.shortest_path
+    monkeypatch.setattr(own, "shortest_path", lambda part: asked.append(part) or path(part))
+    pairs = {t[i : i + 2] for t in own.ids for i in range(len(t) - 1)}
+    texts = [f"oneadtha{mark} ñandenheit{mark}" for mark in ("", ",", ".", "###", "ñß", "日")]
+    for text in texts:
+        assert own.encode(text).tolist() == [own.ids[p] for p in own.merged(own.normalise(text))]
+    # what is before a mark that no piece joins to it is looked for once, not once with every mark
+    assert len(asked) == len(set(asked))
+    assert all(part[i : i + 2] in pairs for part in asked for i in range(len(part) - 1))
+
+
+def test_steps_and_shared_kinds_of_characters_change_no_ids(monkeypatch):
+    with open(MODEL, "rb") as file:
+        model = file.read()
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("aeinrst ,.éß日😀▁\n") for _ in range(draw.randint(0, 90))) for _ in range(80)]
+    texts += ["", None, "a" * 100, " " * 50, "", None]
+    plain = pieces.PieceTransducer(model)
+    want = [list(plain.encode(text)) for text in texts]
+    for step, kinds in ((1, 2_048), (7, 2_048), (50, 3), (1_000_000, 2)):
+        monkeypatch.setattr(pieces, "STEP", step)
+        monkeypatch.setattr(pieces, "CHARACTERS", kinds)
+        own = pieces.PieceTransducer(model)
+        assert own.encode_all(texts).to_pylist() == want
+        assert own.encode_all([]).to_pylist() == [] and own.encode_all([None, ""]).to_pylist() == [[], []]
