@@ -21,9 +21,9 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Remembered paths of parts of a text, and joints of pieces, in a task.
-MEMORY, JOINTS = 80_000, 500_000
+MEMORY, JOINTS = 60_000, 500_000
 #: Bytes of texts that a task encodes at a time, and characters of a longer text.
-STEP = 2 << 20
+STEP = 1 << 19
 #: Parts below this length are remembered.
 WORD = 64
 #: Most kinds of characters that the table of neighbours tells apart; kinds that share a number share their neighbours.
